@@ -95,11 +95,21 @@ def _order_statistics(x: DataFrame, ranks: list[int], lo: float, hi: float,
                     seen += bk["n"]
                 else:  # pragma: no cover - counts are exact, so unreachable
                     raise RuntimeError(f"rank {r} not found in histogram")
-        for (a, b, below), rs in to_fetch.items():
-            # Bounded by fetch_limit rows: safe to sort on the driver.
-            vals = sorted(v[0] for v in x.where((F.col("x") >= a) & (F.col("x") <= b)).collect())
-            for r in rs:
-                found[r] = float(vals[r - below])
+        if to_fetch:
+            # One job for all small windows; each holds at most fetch_limit
+            # rows, so the driver sorts a bounded list.
+            wins = list(to_fetch)
+            ids = [F.when((F.col("x") >= a) & (F.col("x") <= b), F.lit(i))
+                   for i, (a, b, _) in enumerate(wins)]
+            got = (x.select("x", F.explode(F.filter(F.array(*ids), lambda s: s.isNotNull())).alias("w"))
+                    .collect())
+            per_win: dict[int, list[float]] = {}
+            for row in got:
+                per_win.setdefault(row["w"], []).append(row["x"])
+            for i, (a, b, below) in enumerate(wins):
+                vals = sorted(per_win.get(i, []))
+                for r in to_fetch[(a, b, below)]:
+                    found[r] = float(vals[r - below])
         windows = next_windows
     return found
 

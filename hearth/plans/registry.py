@@ -264,3 +264,217 @@ def min_price_filter(spark, sf_dir, min_price: float = 10000.0):
 @register("drop_address", with_listings("SELECT * EXCLUDE (address) FROM listings"))
 def drop_address(spark, sf_dir):
     return listings(spark, sf_dir).drop("address")
+
+
+# --------------------------------------------------------------------------
+# Quantiles, central tendency, histograms, box plots, IQR cut (A8-A17)
+# --------------------------------------------------------------------------
+
+@register("quartiles_exact",
+          "SELECT ROUND(quantile_cont(o_totalprice, 0.25), 4) AS q1, "
+          "ROUND(quantile_cont(o_totalprice, 0.5), 4) AS q2, "
+          "ROUND(quantile_cont(o_totalprice, 0.75), 4) AS q3 FROM orders")
+def quartiles_exact(spark, sf_dir):
+    from hearth.operators.quantiles import exact_quantiles
+    o = read_table(spark, sf_dir, "orders", ["o_totalprice"])
+    q1, q2, q3 = exact_quantiles(o, "o_totalprice", [0.25, 0.5, 0.75])
+    return spark.createDataFrame([(q1, q2, q3)], "q1 double, q2 double, q3 double").select(
+        *[F.round(c, 4).alias(c) for c in ("q1", "q2", "q3")])
+
+
+@register("quartiles_approx")
+def quartiles_approx(spark, sf_dir):
+    """The notebook's sketch quartiles (error 0.05) of the listing price; rows-only check."""
+    from hearth.operators.quantiles import approx_quantiles
+    q1, q3 = approx_quantiles(_priced(spark, sf_dir), "price", [0.25, 0.75], 0.05)
+    return spark.createDataFrame([(q1, q3)], "q1 double, q3 double")
+
+
+@register("central_tendency_part",
+          """SELECT ROUND(AVG(p_retailprice), 4) AS mean,
+                    ROUND(quantile_cont(p_retailprice, 0.5), 4) AS median,
+                    ROUND((SELECT p_retailprice FROM part GROUP BY p_retailprice
+                           ORDER BY COUNT(*) DESC, p_retailprice ASC LIMIT 1), 4) AS mode
+             FROM part""")
+def central_tendency_part(spark, sf_dir):
+    return profile.central_tendency(read_table(spark, sf_dir, "part", ["p_retailprice"]),
+                                    "p_retailprice")
+
+
+@register("central_tendency_listings", with_listings(
+    """SELECT ROUND(AVG(price), 4) AS mean, ROUND(quantile_cont(price, 0.5), 4) AS median,
+              ROUND((SELECT price FROM k GROUP BY price ORDER BY COUNT(*) DESC, price ASC LIMIT 1), 4) AS mode
+       FROM k""",
+    _PRICED_CTE + ", " + _BOUNDS_CTE
+    + ", k AS (SELECT p.price FROM p, f WHERE p.price >= f.lo AND p.price <= f.hi)"))
+def central_tendency_listings(spark, sf_dir):
+    """Mean, median and mode of the price after the IQR cut (the notebook's histogram lines)."""
+    kept, _, _ = outliers.split_outliers(_priced(spark, sf_dir), "price", relative_error=None)
+    return profile.central_tendency(kept, "price")
+
+
+def _histogram_sql(source: str, col: str, bins: int = 50) -> str:
+    return f"""
+      t AS (SELECT CAST({col} AS DOUBLE) AS x FROM {source} WHERE {col} IS NOT NULL),
+      r AS (SELECT MIN(x) AS mn, MAX(x) AS mx FROM t),
+      c AS (SELECT CAST(LEAST(FLOOR((x - mn) / (mx - mn) * {bins}), {bins - 1}) + 1 AS INTEGER) AS bin,
+                   COUNT(*) AS n FROM t, r GROUP BY 1),
+      ax AS (SELECT CAST(range AS INTEGER) AS bin FROM range(1, {bins + 1}))
+    """, f"""
+      SELECT ax.bin, ROUND(mn + (ax.bin - 1) * ((mx - mn) / {bins}), 6) AS bin_lower,
+             ROUND(mn + ax.bin * ((mx - mn) / {bins}), 6) AS bin_upper,
+             COALESCE(c.n, 0) AS n
+      FROM ax CROSS JOIN r LEFT JOIN c ON ax.bin = c.bin
+    """
+
+
+_h_ctes, _h_body = _histogram_sql("listings", "floor_area")
+register("histogram_floor_area", with_listings(_h_body, _h_ctes))(
+    lambda spark, sf_dir: profile.histogram(listings(spark, sf_dir), "floor_area", 50))
+_h_ctes, _h_body = _histogram_sql("orders", "o_totalprice")
+register("histogram_order_price", f"WITH {_h_ctes} {_h_body}")(
+    lambda spark, sf_dir: profile.histogram(read_table(spark, sf_dir, "orders", ["o_totalprice"]),
+                                            "o_totalprice", 50))
+
+
+_BOX_SQL = with_listings(
+    """SELECT q.series, q.n, ROUND(q.q1, 4) AS q1, ROUND(q.med, 4) AS median, ROUND(q.q3, 4) AS q3,
+              ROUND(q.q3 - q.q1, 4) AS iqr,
+              ROUND(MIN(s.price) FILTER (WHERE s.price >= q.q1 - 1.5 * (q.q3 - q.q1)), 4) AS whisker_low,
+              ROUND(MAX(s.price) FILTER (WHERE s.price <= q.q3 + 1.5 * (q.q3 - q.q1)), 4) AS whisker_high,
+              CAST(SUM(CASE WHEN s.price < q.q1 - 1.5 * (q.q3 - q.q1)
+                              OR s.price > q.q3 + 1.5 * (q.q3 - q.q1) THEN 1 ELSE 0 END) AS BIGINT) AS n_fliers
+       FROM q JOIN s ON q.series = s.series
+       GROUP BY q.series, q.n, q.q1, q.med, q.q3""",
+    _PRICED_CTE + ", " + _BOUNDS_CTE + """,
+       k AS (SELECT p.price FROM p, f WHERE p.price >= f.lo AND p.price <= f.hi),
+       s AS (SELECT 'with_outliers' AS series, price FROM p WHERE price IS NOT NULL
+             UNION ALL SELECT 'without_outliers' AS series, price FROM k),
+       q AS (SELECT series, COUNT(*) AS n, quantile_cont(price, 0.25) AS q1,
+                    quantile_cont(price, 0.5) AS med, quantile_cont(price, 0.75) AS q3
+             FROM s GROUP BY series)""")
+
+
+@register("boxplot_stats", _BOX_SQL)
+def boxplot_stats(spark, sf_dir):
+    priced = _priced(spark, sf_dir)
+    kept, _, _ = outliers.split_outliers(priced, "price", relative_error=None)
+    return profile.boxplot_stats(priced, "price", "with_outliers").unionByName(
+        profile.boxplot_stats(kept, "price", "without_outliers"))
+
+
+@register("iqr_bounds", with_listings(
+    """SELECT ROUND(q1, 4) AS q1, ROUND(q3, 4) AS q3, ROUND(q3 - q1, 4) AS iqr,
+              ROUND(q1 - 1.5 * (q3 - q1), 4) AS lower_bound, ROUND(q3 + 1.5 * (q3 - q1), 4) AS upper_bound
+       FROM b""", _PRICED_CTE + ", " + _BOUNDS_CTE))
+def iqr_bounds(spark, sf_dir):
+    b = outliers.bounds_frame(_priced(spark, sf_dir), "price", relative_error=None)
+    return b.select(*[F.round(c, 4).alias(c) for c in b.columns])
+
+
+_ADDR_PRICED_CTE = f"p AS (SELECT address, province, {price_intended_sql()} AS price FROM listings)"
+
+
+def _addr_priced(spark, sf_dir):
+    return listings(spark, sf_dir).select("address", "province", price_usd("price").alias("price"))
+
+
+@register("iqr_outliers", with_listings(
+    "SELECT address, province, ROUND(price, 4) AS price FROM p, f WHERE p.price < f.lo OR p.price > f.hi",
+    _ADDR_PRICED_CTE + ", " + _BOUNDS_CTE))
+def iqr_outliers(spark, sf_dir):
+    _, out, _ = outliers.split_outliers(_addr_priced(spark, sf_dir), "price", relative_error=None)
+    return out.withColumn("price", F.round("price", 4))
+
+
+@register("iqr_kept", with_listings(
+    "SELECT address, province, ROUND(price, 4) AS price FROM p, f WHERE p.price >= f.lo AND p.price <= f.hi",
+    _ADDR_PRICED_CTE + ", " + _BOUNDS_CTE))
+def iqr_kept(spark, sf_dir):
+    kept, _, _ = outliers.split_outliers(_addr_priced(spark, sf_dir), "price", relative_error=None)
+    return kept.withColumn("price", F.round("price", 4))
+
+
+@register("iqr_outliers_orders",
+          """WITH b AS (SELECT quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.75) AS q3
+                       FROM orders)
+             SELECT o_orderkey, o_totalprice FROM orders, b
+             WHERE o_totalprice < q1 - 1.5 * (q3 - q1) OR o_totalprice > q3 + 1.5 * (q3 - q1)""")
+def iqr_outliers_orders(spark, sf_dir):
+    o = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_totalprice"])
+    _, out, _ = outliers.split_outliers(o, "o_totalprice", relative_error=None)
+    return out
+
+
+@register("iqr_kept_approx")
+def iqr_kept_approx(spark, sf_dir):
+    """The notebook's cut: sketch quartiles at error 0.05 (rows-only check)."""
+    kept, _, _ = outliers.split_outliers(_addr_priced(spark, sf_dir), "price", relative_error=0.05)
+    return kept
+
+
+# --------------------------------------------------------------------------
+# Listing extraction from pages (X1-X10)
+# --------------------------------------------------------------------------
+
+_DETAIL_RE_SQL = "'<li><a href=\"([^\"]*)\">(.*?)</a></li>'"
+_AD_SQL = "regexp_extract(html, '<div class=\"ad\">(.*?)</div>', 1)"
+# Declared wide columns: detail labels that become columns (absent -> null).
+WIDE_LABELS = ["/de", "/the", "/in", "/was", "/is", "/The"]
+WIDE_NAMES = ["detail_de", "detail_the", "detail_in", "detail_was", "detail_is", "detail_The_cap"]
+
+_DETAILS_CTE = f"""
+  raw AS (SELECT page_id,
+                 unnest(regexp_extract_all(html, {_DETAIL_RE_SQL}, 1)) AS label,
+                 unnest(regexp_extract_all(html, {_DETAIL_RE_SQL}, 2)) AS value,
+                 unnest(range(1, len(regexp_extract_all(html, {_DETAIL_RE_SQL}, 1)) + 1)) AS pos
+          FROM pages),
+  d AS (SELECT page_id, label,
+               CASE WHEN label = 'Floor Area' THEN split_part(value, ' ', 1) ELSE value END AS value
+        FROM raw WHERE pos <= 12
+        QUALIFY row_number() OVER (PARTITION BY page_id, label ORDER BY pos DESC) = 1)
+"""
+
+
+@register("page_fields", f"""
+    SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS title,
+           regexp_extract(html, '<h1>(.*?)</h1>', 1) AS heading,
+           {_AD_SQL} AS ad_text, split_part({_AD_SQL}, ',', 1) AS province
+    FROM pages""")
+def page_fields(spark, sf_dir):
+    from hearth.operators import extract
+    return extract.page_fields(read_table(spark, sf_dir, "pages", ["page_id", "html"]))
+
+
+@register("page_details_long", f"WITH {_DETAILS_CTE} SELECT page_id, label, value FROM d")
+def page_details_long(spark, sf_dir):
+    from hearth.operators import extract
+    return extract.page_details_long(read_table(spark, sf_dir, "pages", ["page_id", "html"]))
+
+
+@register("page_details_wide", f"WITH {_DETAILS_CTE} SELECT p.page_id, " + ", ".join(
+    f"MAX(d.value) FILTER (WHERE d.label = '{lab}') AS {name}"
+    for lab, name in zip(WIDE_LABELS, WIDE_NAMES))
+    + " FROM pages p LEFT JOIN d ON p.page_id = d.page_id GROUP BY p.page_id")
+def page_details_wide(spark, sf_dir):
+    from hearth.operators import extract
+    return extract.page_details_wide(read_table(spark, sf_dir, "pages", ["page_id", "html"]),
+                                     WIDE_LABELS, WIDE_NAMES)
+
+
+@register("union_sources", with_listings(f"""
+    SELECT page_id, split_part({_AD_SQL}, ',', 1) AS province,
+           regexp_extract(html, '<h1>(.*?)</h1>', 1) AS address FROM pages
+    UNION ALL BY NAME
+    SELECT * FROM listings"""))
+def union_sources(spark, sf_dir):
+    from hearth.operators import extract
+    pages = extract.page_records(read_table(spark, sf_dir, "pages", ["page_id", "html"]))
+    return extract.append_sources(pages, listings(spark, sf_dir))
+
+
+@register("province_from_address", with_listings(
+    "SELECT address, split_part(address, ',', 1) AS address_head FROM listings"))
+def province_from_address(spark, sf_dir):
+    from hearth.operators.extract import text_before
+    return listings(spark, sf_dir).select("address", text_before("address").alias("address_head"))
