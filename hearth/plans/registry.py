@@ -478,3 +478,247 @@ def union_sources(spark, sf_dir):
 def province_from_address(spark, sf_dir):
     from hearth.operators.extract import text_before
     return listings(spark, sf_dir).select("address", text_before("address").alias("address_head"))
+
+
+# --------------------------------------------------------------------------
+# Features (F1-F9)
+# --------------------------------------------------------------------------
+
+_CATS = ["province", "construction_type", "balcony", "furniture"]
+
+
+def _rank_cte(col: str, source: str = "listings") -> str:
+    return (f"r_{col} AS (SELECT {col} AS label, CAST(row_number() OVER (ORDER BY n DESC, {col} ASC) - 1 "
+            f"AS DOUBLE) AS idx FROM (SELECT {col}, COUNT(*) AS n FROM {source} WHERE {col} IS NOT NULL "
+            f"GROUP BY {col})), n_{col} AS (SELECT CAST(COUNT(*) AS DOUBLE) AS k FROM r_{col})")
+
+
+def _index_sql(cols: list[str], extra: list[str] | None = None) -> str:
+    extra = extra or []
+    sel = ", ".join(extra + [f"COALESCE(r_{c}.idx, n_{c}.k) AS {c}_indexed" for c in cols])
+    joins = " ".join(f"LEFT JOIN r_{c} ON l.{c} = r_{c}.label CROSS JOIN n_{c}" for c in cols)
+    return with_listings(f"SELECT {sel} FROM listings l {joins}", ", ".join(_rank_cte(c) for c in cols))
+
+
+@register("category_index_keep", _index_sql(_CATS, ["l.address"]))
+def category_index_keep(spark, sf_dir):
+    from hearth.operators.features import string_indexer
+    df = listings(spark, sf_dir)
+    model = string_indexer(_CATS, "_indexed", "keep").fit(df)
+    return model.transform(df).select("address", *[c + "_indexed" for c in _CATS])
+
+
+@register("category_index_strict", _index_sql(["province", "construction_type"], ["l.address"]))
+def category_index_strict(spark, sf_dir):
+    from hearth.operators.features import string_indexer
+    df = listings(spark, sf_dir)
+    cols = ["province", "construction_type"]
+    model = string_indexer(cols, "_indexed", "error").fit(df)
+    return model.transform(df).select("address", *[c + "_indexed" for c in cols])
+
+
+@register("address_index", with_listings(
+    "SELECT l.address, COALESCE(r_address.idx, n_address.k) AS address_index "
+    "FROM listings l LEFT JOIN r_address ON l.address = r_address.label CROSS JOIN n_address",
+    _rank_cte("address")))
+def address_index(spark, sf_dir):
+    """Distributed frequency index of a near-unique column (no label list on the driver)."""
+    from hearth.operators.features import frequency_index
+    df = listings(spark, sf_dir).select("address")
+    return frequency_index(df, "address", "address_index", "keep")
+
+
+def _assembled_sql() -> str:
+    feats = list(clean.NUMERIC_FEATURES_A)
+    nan = "CAST('NaN' AS DOUBLE)"
+    body = ", ".join(
+        [f"ROUND(COALESCE(CAST(t.{c} AS DOUBLE), {nan}), 6) AS f{i}" for i, c in enumerate(feats)]
+        + [f"ROUND(COALESCE(r_{c}.idx, n_{c}.k), 6) AS f{len(feats) + j}" for j, c in enumerate(_CATS)])
+    joins = " ".join(f"LEFT JOIN r_{c} ON t.{c} = r_{c}.label CROSS JOIN n_{c}" for c in _CATS)
+    ctes = (f"t AS (SELECT {typed_listings_sql(keep_address=True)} FROM listings), "
+            + ", ".join(_rank_cte(c, "t") for c in _CATS))
+    return with_listings(f"SELECT t.address, {body} FROM t {joins}", ctes)
+
+
+@register("assembled_features", _assembled_sql())
+def assembled_features(spark, sf_dir):
+    """19 features assembled with handleInvalid='keep' (null -> NaN), unpacked."""
+    from hearth.operators import features as fe
+    t = clean.typed_listings(listings(spark, sf_dir), keep_address=True)
+    t = fe.cast_double(t, clean.NUMERIC_FEATURES_A)
+    cols = list(clean.NUMERIC_FEATURES_A) + [c + "_indexed" for c in _CATS]
+    model = fe.pipeline(fe.string_indexer(_CATS, "_indexed", "keep"),
+                        fe.assembler(cols, "features", "keep")).fit(t)
+    return model.transform(t).select("address", *fe.vector_columns("features", len(cols), "f", 6))
+
+
+_POLY_IN = ["l_quantity", "l_discount", "l_tax"]
+
+
+@register("poly2_features", """
+    SELECT l_orderkey, l_linenumber,
+           ROUND(l_quantity, 6) AS p0, ROUND(l_quantity * l_quantity, 6) AS p1,
+           ROUND(l_discount, 6) AS p2, ROUND(l_quantity * l_discount, 6) AS p3,
+           ROUND(l_discount * l_discount, 6) AS p4, ROUND(l_tax, 6) AS p5,
+           ROUND(l_quantity * l_tax, 6) AS p6, ROUND(l_discount * l_tax, 6) AS p7,
+           ROUND(l_tax * l_tax, 6) AS p8
+    FROM lineitem""")
+def poly2_features(spark, sf_dir):
+    from hearth.operators import features as fe
+    li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber"] + _POLY_IN)
+    v = fe.assembler(_POLY_IN, "features", "error").transform(li)
+    p = fe.poly_expansion("features", "poly", 2).transform(v)
+    return p.select("l_orderkey", "l_linenumber", *fe.vector_columns("poly", 9, "p", 6))
+
+
+_SCALE_IN = ["l_quantity", "l_extendedprice", "l_discount"]
+
+
+@register("scaled_features", """
+    WITH s AS (SELECT STDDEV_SAMP(l_quantity) AS s0, STDDEV_SAMP(l_extendedprice) AS s1,
+                      STDDEV_SAMP(l_discount) AS s2 FROM lineitem)
+    SELECT l_orderkey, l_linenumber, ROUND(l_quantity / s0, 6) AS s0, ROUND(l_extendedprice / s1, 6) AS s1,
+           ROUND(l_discount / s2, 6) AS s2
+    FROM lineitem, s""")
+def scaled_features(spark, sf_dir):
+    from hearth.operators import features as fe
+    li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber"] + _SCALE_IN)
+    v = fe.assembler(_SCALE_IN, "features", "error").transform(li)
+    sc = fe.scaler("features", "scaled").fit(v).transform(v)
+    return sc.select("l_orderkey", "l_linenumber", *fe.vector_columns("scaled", 3, "s", 6))
+
+
+@register("stable_split", with_listings(
+    "SELECT address, price, CASE WHEN CAST(('0x' || substr(md5(address), 1, 8)) AS BIGINT) % 100 < 80 "
+    "THEN 'train' ELSE 'test' END AS split FROM listings"))
+def stable_split(spark, sf_dir):
+    from hearth.operators.features import hash_bucket
+    df = listings(spark, sf_dir)
+    return df.select("address", "price",
+                     F.when(hash_bucket("address") < 80, "train").otherwise("test").alias("split"))
+
+
+@register("random_split_counts")
+def random_split_counts(spark, sf_dir):
+    """The notebook's randomSplit([0.8, 0.2], 1234); partition-dependent, rows-only."""
+    from hearth.operators.features import random_split
+    train, test = random_split(listings(spark, sf_dir), (0.8, 0.2), 1234)
+    return (train.select(F.lit("train").alias("split")).unionByName(test.select(F.lit("test").alias("split")))
+                 .groupBy("split").agg(F.count(F.lit(1)).alias("n")))
+
+
+# --------------------------------------------------------------------------
+# Models and evaluation (M1-M13)
+# --------------------------------------------------------------------------
+
+@register("ols_one_feature", """
+    SELECT ROUND(regr_slope(l_extendedprice, l_quantity), 4) AS slope,
+           ROUND(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept,
+           ROUND(regr_r2(l_extendedprice, l_quantity), 6) AS r2,
+           COUNT(*) AS n
+    FROM lineitem""")
+def ols_one_feature(spark, sf_dir):
+    from hearth.operators import features as fe
+    from hearth.operators import models as mo
+    li = read_table(spark, sf_dir, "lineitem", ["l_quantity", "l_extendedprice"])
+    v = fe.assembler(["l_quantity"], "features", "error").transform(li)
+    m = mo.linear_regression("features", "l_extendedprice", solver="normal").fit(v)
+    s = m.summary
+    return spark.createDataFrame(
+        [(float(m.coefficients[0]), float(m.intercept), float(s.r2), int(s.numInstances))],
+        "slope double, intercept double, r2 double, n bigint").select(
+        F.round("slope", 4).alias("slope"), F.round("intercept", 4).alias("intercept"),
+        F.round("r2", 6).alias("r2"), "n")
+
+
+_LI_KEY_SQL = "CAST(('0x' || substr(md5(CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR)), 1, 8)) AS BIGINT) % 100"
+
+
+@register("ols_predictions_metrics", f"""
+    WITH s AS (SELECT *, {_LI_KEY_SQL} AS b FROM lineitem),
+         fit AS (SELECT regr_slope(l_extendedprice, l_quantity) AS a, regr_intercept(l_extendedprice, l_quantity) AS c
+                 FROM s WHERE b < 80),
+         p AS (SELECT l_extendedprice AS y, fit.c + fit.a * l_quantity AS yhat FROM s, fit WHERE b >= 80),
+         m AS (SELECT AVG(y) AS ybar FROM p)
+    SELECT COUNT(*) AS n, ROUND(AVG(ABS(y - yhat)), 4) AS mae, ROUND(AVG((y - yhat) * (y - yhat)), 4) AS mse,
+           ROUND(SQRT(AVG((y - yhat) * (y - yhat))), 4) AS rmse,
+           ROUND(1 - SUM((y - yhat) * (y - yhat)) / SUM((y - ybar) * (y - ybar)), 4) AS r2
+    FROM p, m""")
+def ols_predictions_metrics(spark, sf_dir):
+    from hearth.operators import features as fe
+    from hearth.operators import models as mo
+    li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"])
+    key = F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"))
+    train, test = fe.hash_split(li, key, 80)
+    asm = fe.assembler(["l_quantity"], "features", "error")
+    m = mo.linear_regression("features", "l_extendedprice", solver="normal").fit(asm.transform(train))
+    return mo.regression_metrics(m.transform(asm.transform(test)), "l_extendedprice", "prediction")
+
+
+@register("regression_metrics", """
+    WITH p AS (SELECT l.l_extendedprice AS y, l.l_quantity * pt.p_retailprice AS yhat
+               FROM lineitem l JOIN part pt ON l.l_partkey = pt.p_partkey),
+         m AS (SELECT AVG(y) AS ybar FROM p)
+    SELECT COUNT(*) AS n, ROUND(AVG(ABS(y - yhat)), 4) AS mae, ROUND(AVG((y - yhat) * (y - yhat)), 4) AS mse,
+           ROUND(SQRT(AVG((y - yhat) * (y - yhat))), 4) AS rmse,
+           ROUND(1 - SUM((y - yhat) * (y - yhat)) / SUM((y - ybar) * (y - ybar)), 4) AS r2
+    FROM p, m""")
+def regression_metrics_query(spark, sf_dir):
+    """Metrics of a formula prediction (quantity x list price) in one pass."""
+    from hearth.operators import models as mo
+    li = read_table(spark, sf_dir, "lineitem", ["l_partkey", "l_quantity", "l_extendedprice"])
+    pt = read_table(spark, sf_dir, "part", ["p_partkey", "p_retailprice"])
+    pred = li.join(pt, li.l_partkey == pt.p_partkey).select(
+        "l_extendedprice", (F.col("l_quantity") * F.col("p_retailprice")).alias("prediction"))
+    return mo.regression_metrics(pred, "l_extendedprice", "prediction")
+
+
+_KM_COLS = ["l_quantity", "l_discount"]
+
+
+@register("kmeans_assign_given_centres", """
+    WITH c AS (SELECT CAST(row_number() OVER (ORDER BY l_returnflag) - 1 AS INTEGER) AS id,
+                      AVG(l_quantity) AS cq, AVG(l_discount) AS cd
+               FROM lineitem GROUP BY l_returnflag),
+         li AS MATERIALIZED (SELECT *, row_number() OVER () AS rid FROM lineitem),
+         d AS (SELECT l.rid, l.l_orderkey, l.l_linenumber, c.id,
+                      (l.l_quantity - c.cq) * (l.l_quantity - c.cq) + (l.l_discount - c.cd) * (l.l_discount - c.cd) AS dist
+               FROM li l CROSS JOIN c)
+    SELECT l_orderkey, l_linenumber, id AS cluster FROM d
+    QUALIFY row_number() OVER (PARTITION BY rid ORDER BY dist, id) = 1""")
+def kmeans_assign_given_centres(spark, sf_dir):
+    """Assign every line item to the nearest of data-derived centres (per-return-flag means)."""
+    from hearth.operators import models as mo
+    li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_returnflag"] + _KM_COLS)
+    centres = (li.groupBy("l_returnflag").agg(*[F.avg(c).alias(c) for c in _KM_COLS])
+                 .orderBy("l_returnflag").collect())          # one row per flag value
+    pts = [[r[c] for c in _KM_COLS] for r in centres]
+    return mo.assign_to_centres(li, _KM_COLS, pts).select("l_orderkey", "l_linenumber", "cluster")
+
+
+_SWEEP_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@register("kmeans_sweep")
+def kmeans_sweep(spark, sf_dir):
+    """(k, wssse, silhouette) for k = 2..10 over line-item measures (rows-only)."""
+    from hearth.operators import features as fe
+    from hearth.operators import models as mo
+    li = read_table(spark, sf_dir, "lineitem", _SWEEP_COLS)
+    v = fe.assembler(_SWEEP_COLS, "raw", "error").transform(li)
+    v = fe.scaler("raw", "features").fit(v).transform(v)
+    return mo.kmeans_sweep(v, "features")
+
+
+@register("ridge_price_model")
+def ridge_price_model(spark, sf_dir):
+    """Workflow A end to end: test metrics of the CV-tuned elastic-net model (rows-only)."""
+    from hearth.plans import ridge_price
+    return ridge_price.metrics_table(listings(spark, sf_dir))
+
+
+@register("cluster_price_model")
+def cluster_price_model(spark, sf_dir):
+    """Workflow B end to end: sweep, clusters, regression with cluster (rows-only)."""
+    from hearth.plans import cluster_price
+    return cluster_price.run(listings(spark, sf_dir))
