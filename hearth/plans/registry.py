@@ -722,3 +722,33 @@ def cluster_price_model(spark, sf_dir):
     """Workflow B end to end: sweep, clusters, regression with cluster (rows-only)."""
     from hearth.plans import cluster_price
     return cluster_price.run(listings(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------
+# File round trip and streaming ingestion (S1, S7; incremental path)
+# --------------------------------------------------------------------------
+
+@register("listings_csv_roundtrip", with_listings("SELECT * FROM listings"))
+def listings_csv_roundtrip(spark, sf_dir):
+    """Write the listing table as CSV to the shared folder and read it back schema-first."""
+    from hearth.session import scratch_path
+    from hearth.sources.files import read_csv, write_csv
+    path = scratch_path(spark, "listings-csv")
+    write_csv(listings(spark, sf_dir), path)
+    return read_csv(spark, path)
+
+
+@register("streaming_province_price", with_listings(
+    "SELECT province, COUNT(*) AS n_listings, ROUND(AVG(price), 4) AS mean_price FROM p GROUP BY province",
+    _PRICED_CTE))
+def streaming_province_price(spark, sf_dir):
+    """Listing drops streamed through the price parser into a running per-province state."""
+    from hearth.session import scratch_path
+    from hearth.sources.files import write_parquet
+    from hearth.streaming import listing_stream as ls
+    src = scratch_path(spark, "listing-drops")
+    write_parquet(listings(spark, sf_dir), src)
+    agg = ls.province_price_state(ls.listing_stream(spark, src, "parquet", max_files=2))
+    last = ls.run_available(agg, scratch_path(spark, "province-state"),
+                            scratch_path(spark, "province-state-ckpt"))
+    return ls.province_price_from_state(spark, last)
