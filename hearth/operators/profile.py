@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hearth.operators.quantiles import approx_quantiles, exact_quantiles
+from hearth.operators.quantiles import approx_quantiles, cached_values, exact_quantiles
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
             T.DoubleType, T.DecimalType)
@@ -110,21 +110,27 @@ def mode_value(df: DataFrame, col: str) -> DataFrame:
     best candidate, so no value->count map of the whole column is built in
     one place (unlike the ``mode`` aggregate).
     """
-    counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("mode_count"))
-    return (counts.orderBy(F.col("mode_count").desc(), F.col(col).asc()).limit(1)
+    counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("mode_count"))
+    # Null sorts last instead of being filtered out (a filter here would be
+    # pushed below the aggregate and re-evaluate a computed column).
+    return (counts.orderBy(F.col(col).isNull(), F.col("mode_count").desc(), F.col(col).asc()).limit(1)
                   .select(F.col(col).alias("mode"), "mode_count"))
 
 
 def central_tendency(df: DataFrame, col: str, exact: bool = True,
                      median_error: float = 0.01, digits: int = 4) -> DataFrame:
-    """One row: mean, median, mode (the numbers drawn on the price histogram)."""
-    mean = df.agg(F.avg(F.col(col).cast("double")).alias("m")).first()["m"]
-    if exact:
-        median = exact_quantiles(df, col, [0.5])[0]
-    else:
-        median = approx_quantiles(df, col, [0.5], median_error)[0]
-    top = mode_value(df, col).first()
-    mode = None if top is None else float(top["mode"])
+    """One row: mean, median, mode (the numbers drawn on the price histogram).
+
+    The value column is persisted once and shared by the three statistics.
+    """
+    with cached_values(df, col) as x:
+        mean = x.agg(F.avg("x").alias("m")).first()["m"]
+        if exact:
+            median = exact_quantiles(x, "x", [0.5], persist=False)[0]
+        else:
+            median = approx_quantiles(x, "x", [0.5], median_error)[0]
+        top = mode_value(x, "x").first()
+    mode = None if top is None or top["mode"] is None else float(top["mode"])
     spark = df.sparkSession
     one = spark.createDataFrame([(mean, median, mode)], "mean double, median double, mode double")
     return one.select(*[F.round(c, digits).alias(c) for c in ("mean", "median", "mode")])
@@ -149,7 +155,8 @@ def histogram(df: DataFrame, col: str, bins: int = 50, digits: int = 6) -> DataF
     if mx == mn:
         mn, mx = mn - 0.5, mx + 0.5
     b = (F.least(F.floor((x - F.lit(mn)) / F.lit(mx - mn) * F.lit(bins)), F.lit(bins - 1)) + 1).cast("int")
-    counts = df.where(x.isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    # Null values fall in a null bin that the join with the axis drops.
+    counts = df.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     width = (mx - mn) / bins
     return (axis.join(counts, "bin", "left")
                 .select("bin",
@@ -158,10 +165,11 @@ def histogram(df: DataFrame, col: str, bins: int = 50, digits: int = 6) -> DataF
                         F.coalesce("n", F.lit(0).cast("bigint")).alias("n")))
 
 
-def boxplot_stats(df: DataFrame, col: str, label: str = "all", digits: int = 4) -> DataFrame:
+def boxplot_stats(df: DataFrame, col: str, label: str = "all", digits: int = 4,
+                  persist: bool = True) -> DataFrame:
     """Five-number summary as a box plot draws it (numpy-linear quartiles,
     whiskers at the furthest data within 1.5 IQR, flier count)."""
-    q1, med, q3 = exact_quantiles(df, col, [0.25, 0.5, 0.75])
+    q1, med, q3 = exact_quantiles(df, col, [0.25, 0.5, 0.75], persist=persist)
     spark = df.sparkSession
     schema = ("series string, n bigint, q1 double, median double, q3 double, iqr double, "
               "whisker_low double, whisker_high double, n_fliers bigint")
@@ -170,8 +178,8 @@ def boxplot_stats(df: DataFrame, col: str, label: str = "all", digits: int = 4)
     iqr = q3 - q1
     lf, uf = q1 - 1.5 * iqr, q3 + 1.5 * iqr
     x = F.col(col).cast("double")
-    row = df.where(x.isNotNull()).agg(
-        F.count(F.lit(1)).alias("n"),
+    row = df.agg(
+        F.count(x).alias("n"),
         F.min(F.when(x >= lf, x)).alias("wl"),
         F.max(F.when(x <= uf, x)).alias("wh"),
         F.sum(((x < lf) | (x > uf)).cast("int")).cast("bigint").alias("nf"),
@@ -182,3 +190,20 @@ def boxplot_stats(df: DataFrame, col: str, label: str = "all", digits: int = 4)
     return one.select("series", "n", *[F.round(c, digits).alias(c) for c in
                                        ("q1", "median", "q3", "iqr", "whisker_low", "whisker_high")],
                       "n_fliers")
+
+
+def boxplot_with_and_without_outliers(df: DataFrame, col: str, digits: int = 4) -> DataFrame:
+    """Box-plot rows for the series and for the series after the exact IQR
+    cut (the notebook's side-by-side box plots), from one cached column."""
+    from hearth.operators.outliers import IQR_FACTOR
+    with cached_values(df, col) as x:
+        q1, q3 = exact_quantiles(x, "x", [0.25, 0.75], persist=False)
+        allb = boxplot_stats(x, "x", "with_outliers", digits, persist=False)
+        if q1 is None:
+            kept = x.select(F.lit(None).cast("double").alias("x"))
+        else:
+            lo, hi = q1 - IQR_FACTOR * (q3 - q1), q3 + IQR_FACTOR * (q3 - q1)
+            kept = x.select(F.when((F.col("x") >= lo) & (F.col("x") <= hi), F.col("x")).alias("x"))
+        keptb = boxplot_stats(kept, "x", "without_outliers", digits, persist=False)
+        rows = allb.collect() + keptb.collect()
+    return df.sparkSession.createDataFrame(rows, allb.schema)

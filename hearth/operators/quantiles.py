@@ -24,6 +24,7 @@
 from __future__ import annotations
 
 import math
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
@@ -34,9 +35,28 @@ DEFAULT_FETCH_LIMIT = 50_000
 
 
 def _clean(df: DataFrame, col: str | Column) -> DataFrame:
+    """One double column ``x``; NaN becomes null.
+
+    Deliberately a projection, not a filter: Catalyst pushes a filter on a
+    computed column through the projections below it and inlines the whole
+    expression (a parsed price, say) into the scan-side filter, evaluating
+    it several times per row.  Nulls are skipped by the aggregates instead.
+    """
     c = F.col(col) if isinstance(col, str) else col
     x = c.cast("double")
-    return df.select(x.alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
+    return df.select(F.when(~F.isnan(x), x).alias("x"))
+
+
+@contextmanager
+def cached_values(df: DataFrame, col: str | Column):
+    """Persist just the value column (as double ``x``, NaN -> null) for the
+    duration of several passes: bounds, quantiles and aggregates of one
+    series then share a single evaluation of the plan that produces it."""
+    x = _clean(df, col).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield x
+    finally:
+        x.unpersist()
 
 
 def approx_quantiles(df: DataFrame, col: str, probs: list[float],
@@ -122,7 +142,7 @@ def exact_quantiles(df: DataFrame, col: str | Column, probs: list[float],
     if persist:
         x = x.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        st = x.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("mn"),
+        st = x.agg(F.count("x").alias("n"), F.min("x").alias("mn"),
                    F.max("x").alias("mx")).first()
         n = st["n"]
         if not n:

@@ -309,8 +309,10 @@ def central_tendency_part(spark, sf_dir):
     + ", k AS (SELECT p.price FROM p, f WHERE p.price >= f.lo AND p.price <= f.hi)"))
 def central_tendency_listings(spark, sf_dir):
     """Mean, median and mode of the price after the IQR cut (the notebook's histogram lines)."""
-    kept, _, _ = outliers.split_outliers(_priced(spark, sf_dir), "price", relative_error=None)
-    return profile.central_tendency(kept, "price")
+    from hearth.operators.quantiles import cached_values, exact_quantiles
+    with cached_values(_priced(spark, sf_dir), "price") as x:
+        b = outliers.IqrBounds(*exact_quantiles(x, "x", [0.25, 0.75], persist=False))
+        return profile.central_tendency(x.where(outliers.keep_condition("x", b)), "x")
 
 
 def _histogram_sql(source: str, col: str, bins: int = 50) -> str:
@@ -357,10 +359,7 @@ _BOX_SQL = with_listings(
 
 @register("boxplot_stats", _BOX_SQL)
 def boxplot_stats(spark, sf_dir):
-    priced = _priced(spark, sf_dir)
-    kept, _, _ = outliers.split_outliers(priced, "price", relative_error=None)
-    return profile.boxplot_stats(priced, "price", "with_outliers").unionByName(
-        profile.boxplot_stats(kept, "price", "without_outliers"))
+    return profile.boxplot_with_and_without_outliers(_priced(spark, sf_dir), "price")
 
 
 @register("iqr_bounds", with_listings(
