@@ -104,7 +104,10 @@ def scaler(in_col: str = "poly_features", out_col: str = "scaled_features",
 
 
 def vector_columns(vec: str, n: int, prefix: str, digits: int | None = 6) -> list[Column]:
-    """Unpack a vector column to ``prefix0..prefix{n-1}`` doubles (for checks)."""
+    """Unpack a vector column to ``prefix0..prefix{n-1}`` doubles (for checks).
+
+    Prefer ``unpack_vector`` for many elements: it converts once per row.
+    """
     arr = vector_to_array(F.col(vec))
     cols = []
     for i in range(n):
@@ -115,6 +118,19 @@ def vector_columns(vec: str, n: int, prefix: str, digits: int | None = 6) -> lis
     return cols
 
 
+def unpack_vector(df: DataFrame, keep: list[str], vec: str, n: int, prefix: str,
+                  digits: int | None = 6) -> DataFrame:
+    """``keep`` columns plus the vector's elements, converting the vector to
+    an array once per row (the array column is referenced n times, so the
+    optimizer keeps it as one projection instead of n conversions)."""
+    a = df.select(*keep, vector_to_array(F.col(vec)).alias("_arr"))
+    out = []
+    for i in range(n):
+        e = F.col("_arr")[i]
+        out.append((F.round(e, digits) if digits is not None else e).alias(f"{prefix}{i}"))
+    return a.select(*keep, *out)
+
+
 def hash_bucket(key: Column | str, buckets: int = 100) -> Column:
     """0..buckets-1 from the first 32 bits of md5(key): stable across runs,
     engines and partitionings."""

@@ -38,10 +38,20 @@ class LabelLeakError(ValueError):
 
 def prepare(raw: DataFrame, as_written: bool = False,
             quartile_error: float | None = outliers.QUARTILE_ERROR) -> DataFrame:
+    """Dedup -> indices -> typed columns -> IQR cut -> double features, zero-filled.
+
+    The deduplicated rows are persisted once; all five low-cardinality
+    indices come from one multi-column ``StringIndexer`` pass over them
+    (the notebook's separate fits give the same indices, since those
+    columns are not modified in between), and the address index from the
+    distributed frequency index.
+    """
     mode = "as_written" if as_written else "intended"
     invalid = "error" if as_written else "keep"
-    df = profile.dedup_rows(raw)
-    df = features.string_indexer(["province"], "_index", invalid).fit(df).transform(df)
+    base = profile.dedup_rows(raw).persist(StorageLevel.MEMORY_AND_DISK)
+    cats = ["province", *INDEXED_B]
+    idx_model = features.string_indexer(cats, "_index", invalid).fit(base)
+    df = idx_model.transform(base)
     df = features.frequency_index(df, "address", "address_index", invalid)
     df = df.withColumns({
         "price": price_usd("price", mode),
@@ -51,11 +61,11 @@ def prepare(raw: DataFrame, as_written: bool = False,
         "rooms_int": parse_int("rooms"),
         "bathrooms_int": parse_int("bathrooms"),
     })
-    df = features.string_indexer(INDEXED_B, "_index", invalid).fit(df).transform(df)
-    df = df.drop(*INDEXED_B, "rooms", "bathrooms", "province", "address")
+    df = df.select(*[F.col(c).cast("double").alias(c) for c in FEATURES_B])
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    df.count()
+    base.unpersist()
     df = outliers.remove_outliers(df, "price", quartile_error)
-    df = df.select(*[F.col(c).cast("double").alias(c) for c in FEATURES_B])
     return df.na.fill(0, subset=list(FEATURES_B))
 
 

@@ -548,7 +548,7 @@ def assembled_features(spark, sf_dir):
     cols = list(clean.NUMERIC_FEATURES_A) + [c + "_indexed" for c in _CATS]
     model = fe.pipeline(fe.string_indexer(_CATS, "_indexed", "keep"),
                         fe.assembler(cols, "features", "keep")).fit(t)
-    return model.transform(t).select("address", *fe.vector_columns("features", len(cols), "f", 6))
+    return fe.unpack_vector(model.transform(t), ["address"], "features", len(cols), "f", 6)
 
 
 _POLY_IN = ["l_quantity", "l_discount", "l_tax"]
@@ -567,7 +567,7 @@ def poly2_features(spark, sf_dir):
     li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber"] + _POLY_IN)
     v = fe.assembler(_POLY_IN, "features", "error").transform(li)
     p = fe.poly_expansion("features", "poly", 2).transform(v)
-    return p.select("l_orderkey", "l_linenumber", *fe.vector_columns("poly", 9, "p", 6))
+    return fe.unpack_vector(p, ["l_orderkey", "l_linenumber"], "poly", 9, "p", 6)
 
 
 _SCALE_IN = ["l_quantity", "l_extendedprice", "l_discount"]
@@ -584,7 +584,7 @@ def scaled_features(spark, sf_dir):
     li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber"] + _SCALE_IN)
     v = fe.assembler(_SCALE_IN, "features", "error").transform(li)
     sc = fe.scaler("features", "scaled").fit(v).transform(v)
-    return sc.select("l_orderkey", "l_linenumber", *fe.vector_columns("scaled", 3, "s", 6))
+    return fe.unpack_vector(sc, ["l_orderkey", "l_linenumber"], "scaled", 3, "s", 6)
 
 
 @register("stable_split", with_listings(
