@@ -207,3 +207,24 @@ def boxplot_with_and_without_outliers(df: DataFrame, col: str, digits: int = 4)
         keptb = boxplot_stats(kept, "x", "without_outliers", digits, persist=False)
         rows = allb.collect() + keptb.collect()
     return df.sparkSession.createDataFrame(rows, allb.schema)
+
+
+def binned_pairs(df: DataFrame, x: str, y: str, bins: int = 20) -> DataFrame:
+    """2-D equal-width bins of (x, y) with counts: the data behind an
+    actual-vs-predicted scatter, bounded by ``bins * bins`` rows however
+    many points there are.  Rows with a null in either column are dropped."""
+    xv, yv = F.col(x).cast("double"), F.col(y).cast("double")
+    st = df.agg(F.min(xv).alias("x0"), F.max(xv).alias("x1"),
+                F.min(yv).alias("y0"), F.max(yv).alias("y1")).first()
+    if st["x0"] is None or st["y0"] is None:
+        return df.sparkSession.createDataFrame([], "x_bin int, y_bin int, n bigint")
+
+    def bin_of(v, lo, hi):
+        lo, hi = float(lo), float(hi)
+        if hi == lo:
+            lo, hi = lo - 0.5, hi + 0.5
+        return (F.least(F.floor((v - F.lit(lo)) / F.lit(hi - lo) * F.lit(bins)), F.lit(bins - 1)) + 1).cast("int")
+
+    b = df.select(bin_of(xv, st["x0"], st["x1"]).alias("x_bin"), bin_of(yv, st["y0"], st["y1"]).alias("y_bin"))
+    return (b.groupBy("x_bin", "y_bin").agg(F.count(F.lit(1)).alias("n"))
+             .where(F.col("x_bin").isNotNull() & F.col("y_bin").isNotNull()))

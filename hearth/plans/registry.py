@@ -751,3 +751,21 @@ def streaming_province_price(spark, sf_dir):
     last = ls.run_available(agg, scratch_path(spark, "province-state"),
                             scratch_path(spark, "province-state-ckpt"))
     return ls.province_price_from_state(spark, last)
+
+
+@register("actual_vs_predicted_bins", """
+    WITH p AS (SELECT CAST(l.l_extendedprice AS DOUBLE) AS y, l.l_quantity * pt.p_retailprice AS yhat
+               FROM lineitem l JOIN part pt ON l.l_partkey = pt.p_partkey),
+         r AS (SELECT MIN(y) AS y0, MAX(y) AS y1, MIN(yhat) AS p0, MAX(yhat) AS p1 FROM p)
+    SELECT CAST(LEAST(FLOOR((y - y0) / (y1 - y0) * 20), 19) + 1 AS INTEGER) AS x_bin,
+           CAST(LEAST(FLOOR((yhat - p0) / (p1 - p0) * 20), 19) + 1 AS INTEGER) AS y_bin,
+           COUNT(*) AS n
+    FROM p, r GROUP BY 1, 2""")
+def actual_vs_predicted_bins(spark, sf_dir):
+    """(actual, predicted) pairs as 20x20 bin counts (the scatter's data, bounded)."""
+    li = read_table(spark, sf_dir, "lineitem", ["l_partkey", "l_quantity", "l_extendedprice"])
+    pt = read_table(spark, sf_dir, "part", ["p_partkey", "p_retailprice"])
+    pred = li.join(pt, li.l_partkey == pt.p_partkey).select(
+        F.col("l_extendedprice").alias("actual"),
+        (F.col("l_quantity") * F.col("p_retailprice")).alias("predicted"))
+    return profile.binned_pairs(pred, "actual", "predicted", 20)
