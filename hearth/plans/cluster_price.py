@@ -37,7 +37,8 @@ class LabelLeakError(ValueError):
 
 
 def prepare(raw: DataFrame, as_written: bool = False,
-            quartile_error: float | None = outliers.QUARTILE_ERROR) -> DataFrame:
+            quartile_error: float | None = outliers.QUARTILE_ERROR,
+            cached: list | None = None) -> DataFrame:
     """Dedup -> indices -> typed columns -> IQR cut -> double features, zero-filled.
 
     The deduplicated rows are persisted once; all five low-cardinality
@@ -65,6 +66,8 @@ def prepare(raw: DataFrame, as_written: bool = False,
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
     df.count()
     base.unpersist()
+    if cached is not None:
+        cached.append(df)
     df = outliers.remove_outliers(df, "price", quartile_error)
     return df.na.fill(0, subset=list(FEATURES_B))
 
@@ -89,11 +92,22 @@ def run(raw: DataFrame, as_written: bool = False, sweep: bool = True,
     label = "price"
     cols = feature_list(label, as_written)
     check_no_label(cols, label, as_written)
-    data = prepare(raw, as_written, quartile_error)
+    cached: list = []
+    try:
+        return _run(spark, raw, as_written, sweep, k_values, final_k, quartile_error, cols, cached)
+    finally:
+        for c in cached:
+            c.unpersist()
+
+
+def _run(spark, raw, as_written, sweep, k_values, final_k, quartile_error, cols, cached) -> DataFrame:
+    label = "price"
+    data = prepare(raw, as_written, quartile_error, cached)
     rows: list[tuple] = []
 
     assembled = features.assembler(cols, "features", "error").transform(data)
     assembled = assembled.persist(StorageLevel.MEMORY_AND_DISK)
+    cached.append(assembled)
     if sweep:
         for r in models.kmeans_sweep(assembled, "features", k_values).collect():
             rows.append(("sweep", "all", r["k"], "wssse", r["wssse"]))
@@ -107,6 +121,7 @@ def run(raw: DataFrame, as_written: bool = False, sweep: bool = True,
     km = Pipeline(stages=[features.assembler(cols, "feature", "error"),
                           models.kmeans(final_k, "feature", "cluster")]).fit(train)
     c_train = km.transform(train).persist(StorageLevel.MEMORY_AND_DISK)
+    cached.append(c_train)
     c_test = km.transform(test)
     rows.append(("clusters", "train", final_k, "silhouette", models.silhouette(c_train, "feature")))
     rows.append(("clusters", "test", final_k, "silhouette", models.silhouette(c_test, "feature")))
@@ -124,6 +139,4 @@ def run(raw: DataFrame, as_written: bool = False, sweep: bool = True,
         rows.append(("regression", "test", final_k, name, float(m[name])))
     for r in models.training_summary(spark, lr_model, with_cluster).collect():
         rows.append(("regression_summary", "train", final_k, r["metric"], r["value"]))
-    c_train.unpersist()
-    assembled.unpersist()
     return spark.createDataFrame(rows, "step string, split string, k int, metric string, value double")

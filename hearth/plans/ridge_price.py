@@ -36,8 +36,12 @@ class RidgeResult:
 
 
 def prepare(raw: DataFrame, as_written: bool = False,
-            quartile_error: float | None = outliers.QUARTILE_ERROR) -> DataFrame:
-    """Dedup -> typed/flags -> (int price) -> IQR cut -> complete rows."""
+            quartile_error: float | None = outliers.QUARTILE_ERROR,
+            cached: list | None = None) -> DataFrame:
+    """Dedup -> typed/flags -> (int price) -> IQR cut -> complete rows.
+
+    Frames persisted here are appended to ``cached`` for the caller to release.
+    """
     mode = "as_written" if as_written else "intended"
     df = profile.dedup_rows(raw)
     df = clean.typed_listings(df, mode)
@@ -46,6 +50,8 @@ def prepare(raw: DataFrame, as_written: bool = False,
     # The cut needs two numbers; persist so the quantile pass and the
     # later fits do not re-run the scan, dedup and cleaning.
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    if cached is not None:
+        cached.append(df)
     kept = outliers.remove_outliers(df, "price", quartile_error)
     return clean.complete_rows(kept)
 
@@ -54,7 +60,8 @@ def run(raw: DataFrame, as_written: bool = False, elastic_net: float | None = No
         quartile_error: float | None = outliers.QUARTILE_ERROR, parallelism: int = 3) -> RidgeResult:
     spark = raw.sparkSession
     elastic_net = models.ELASTIC_NET_AS_WRITTEN if elastic_net is None else elastic_net
-    data = prepare(raw, as_written, quartile_error)
+    cached: list = []
+    data = prepare(raw, as_written, quartile_error, cached)
     feature_cols = list(clean.NUMERIC_FEATURES_A) + [c + "_indexed" for c in CATEGORICAL_A]
     stages = [
         features.string_indexer(CATEGORICAL_A, "_indexed", "keep"),
@@ -77,18 +84,23 @@ def run(raw: DataFrame, as_written: bool = False, elastic_net: float | None = No
         test = feat_model.transform(test)
         fold_col = "fold"
     cv_train = cv_train.persist(StorageLevel.MEMORY_AND_DISK)
-    lr = models.linear_regression("scaled_features", "price", elastic_net)
-    cv = models.cross_validated(lr, "price", models.REG_PARAM_GRID, models.CV_FOLDS,
-                                fold_col=fold_col, parallelism=parallelism)
-    cv_model = cv.fit(cv_train)
-    best = cv_model.bestModel
-    preds = best.transform(test).select("price", "prediction")
-    metrics = models.regression_metrics(preds, "price", "prediction", split="test")
-    best_reg = float(best.getOrDefault("regParam"))
-    result = RidgeResult(metrics, best_reg, [float(v) for v in cv_model.avgMetrics],
-                         (feat_model, best), preds)
-    cv_train.unpersist()
-    return result
+    cached.append(cv_train)
+    try:
+        lr = models.linear_regression("scaled_features", "price", elastic_net)
+        cv = models.cross_validated(lr, "price", models.REG_PARAM_GRID, models.CV_FOLDS,
+                                    fold_col=fold_col, parallelism=parallelism)
+        cv_model = cv.fit(cv_train)
+        best = cv_model.bestModel
+        preds = best.transform(test).select("price", "prediction")
+        m = models.regression_metrics(preds, "price", "prediction", split="test")
+        # One row: materialise it so the cached inputs can be released.
+        metrics = spark.createDataFrame(m.collect(), m.schema)
+        best_reg = float(best.getOrDefault("regParam"))
+        return RidgeResult(metrics, best_reg, [float(v) for v in cv_model.avgMetrics],
+                           (feat_model, best), preds)
+    finally:
+        for c in cached:
+            c.unpersist()
 
 
 def metrics_table(raw: DataFrame, **kw) -> DataFrame:
