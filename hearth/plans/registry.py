@@ -769,3 +769,38 @@ def actual_vs_predicted_bins(spark, sf_dir):
         F.col("l_extendedprice").alias("actual"),
         (F.col("l_quantity") * F.col("p_retailprice")).alias("predicted"))
     return profile.binned_pairs(pred, "actual", "predicted", 20)
+
+
+@register("iqr_outliers_events",
+          """WITH b AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events)
+             SELECT event_id, value FROM events, b
+             WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)""")
+def iqr_outliers_events(spark, sf_dir):
+    """IQR outliers of event values (a heavy-tailed column with real outliers)."""
+    ev = read_table(spark, sf_dir, "events", ["event_id", "value"])
+    _, out, _ = outliers.split_outliers(ev, "value", relative_error=None)
+    return out
+
+
+@register("boxplot_events_value", """
+    WITH p AS (SELECT value AS price FROM events),
+         b AS (SELECT quantile_cont(price, 0.25) AS q1, quantile_cont(price, 0.75) AS q3 FROM p),
+         f AS (SELECT q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM b),
+         k AS (SELECT p.price FROM p, f WHERE p.price >= f.lo AND p.price <= f.hi),
+         s AS (SELECT 'with_outliers' AS series, price FROM p WHERE price IS NOT NULL
+               UNION ALL SELECT 'without_outliers' AS series, price FROM k),
+         q AS (SELECT series, COUNT(*) AS n, quantile_cont(price, 0.25) AS q1,
+                      quantile_cont(price, 0.5) AS med, quantile_cont(price, 0.75) AS q3
+               FROM s GROUP BY series)
+    SELECT q.series, q.n, ROUND(q.q1, 4) AS q1, ROUND(q.med, 4) AS median, ROUND(q.q3, 4) AS q3,
+           ROUND(q.q3 - q.q1, 4) AS iqr,
+           ROUND(MIN(s.price) FILTER (WHERE s.price >= q.q1 - 1.5 * (q.q3 - q.q1)), 4) AS whisker_low,
+           ROUND(MAX(s.price) FILTER (WHERE s.price <= q.q3 + 1.5 * (q.q3 - q.q1)), 4) AS whisker_high,
+           CAST(SUM(CASE WHEN s.price < q.q1 - 1.5 * (q.q3 - q.q1)
+                           OR s.price > q.q3 + 1.5 * (q.q3 - q.q1) THEN 1 ELSE 0 END) AS BIGINT) AS n_fliers
+    FROM q JOIN s ON q.series = s.series
+    GROUP BY q.series, q.n, q.q1, q.med, q.q3""")
+def boxplot_events_value(spark, sf_dir):
+    """Box-plot statistics of event values before and after the IQR cut."""
+    ev = read_table(spark, sf_dir, "events", ["value"])
+    return profile.boxplot_with_and_without_outliers(ev, "value")
