@@ -23,7 +23,7 @@ from pyspark.ml.feature import (
     PolynomialExpansion, StandardScaler, StringIndexer, VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearth.session import shared_dir
@@ -53,11 +53,16 @@ def frequency_index(df: DataFrame, col: str, out_col: str | None = None,
                 .agg(F.count(F.lit(1)).alias("_n")))
     order = [F.col("_n").desc(), F.col(col).asc()]
     n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Range-partition by the index order: partition p holds a contiguous run.
+    # Range-partition by the index order (partition p holds a contiguous run
+    # of it) and sort inside each partition; then a row's position in its
+    # partition is the low 33 bits of monotonically_increasing_id().  No
+    # window, no second shuffle.
     ranged = (counts.repartitionByRange(n_parts, *order)
-                    .withColumn("_pid", F.spark_partition_id()))
-    # Cut the lineage so the partition numbering cannot change between the
-    # two uses below (reliable checkpoint to the shared folder).
+                    .sortWithinPartitions(*order)
+                    .select(col, F.spark_partition_id().alias("_pid"),
+                            F.monotonically_increasing_id().alias("_mid")))
+    # Cut the lineage so the numbering cannot change between the two uses
+    # below (reliable checkpoint to the shared folder, not executor-local).
     shared_dir(spark)
     ranged = ranged.checkpoint(eager=True)
     sizes = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c")).collect()  # <= n_parts rows
@@ -67,10 +72,9 @@ def frequency_index(df: DataFrame, col: str, out_col: str | None = None,
         acc += row["_c"]
     n_labels = acc
     off_df = spark.createDataFrame(offsets or [(0, 0)], "_pid int, _off bigint")
-    w = Window.partitionBy("_pid").orderBy(*order)
+    local_pos = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
     labels = (ranged.join(F.broadcast(off_df), "_pid")   # <= n_parts rows
-                    .select(F.col(col),
-                            (F.col("_off") + F.row_number().over(w) - 1).cast("double").alias(out_col)))
+                    .select(F.col(col), (F.col("_off") + local_pos).cast("double").alias(out_col)))
     if n_labels <= BROADCAST_LABELS_MAX:
         labels = F.broadcast(labels)
     if handle_invalid == "error":
