@@ -87,6 +87,32 @@ def frequency_index(df: DataFrame, col: str, out_col: str | None = None,
     return joined.withColumn(out_col, F.coalesce(F.col(out_col), F.lit(float(n_labels))))
 
 
+# StringIndexer keeps every label on the driver; use it only below this
+# many (estimated) distinct labels per column.
+DRIVER_LABELS_MAX = 100_000
+
+
+def index_columns(df: DataFrame, columns: list[str] | tuple[str, ...], suffix: str = "_index",
+                  handle_invalid: str = "keep", max_driver_labels: int = DRIVER_LABELS_MAX) -> DataFrame:
+    """Index several string columns, choosing the strategy per column by size.
+
+    One pass estimates each column's distinct count (HyperLogLog, bounded
+    memory); columns safely under ``max_driver_labels`` share one
+    multi-column ``StringIndexer`` fit, the others use ``frequency_index``.
+    Both give the same indices (frequency desc, ties by label).
+    """
+    cols = list(columns)
+    est = df.agg(*[F.approx_count_distinct(c, 0.01).alias(c) for c in cols]).first()
+    small = [c for c in cols if est[c] * 1.05 < max_driver_labels]
+    large = [c for c in cols if c not in small]
+    out = df
+    if small:
+        out = string_indexer(small, suffix, handle_invalid).fit(out).transform(out)
+    for c in large:
+        out = frequency_index(out, c, c + suffix, handle_invalid)
+    return out
+
+
 def assembler(columns: list[str] | tuple[str, ...], out_col: str = "features",
               handle_invalid: str = "keep") -> VectorAssembler:
     return VectorAssembler(inputCols=list(columns), outputCol=out_col, handleInvalid=handle_invalid)

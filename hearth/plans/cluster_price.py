@@ -41,19 +41,18 @@ def prepare(raw: DataFrame, as_written: bool = False,
             cached: list | None = None) -> DataFrame:
     """Dedup -> indices -> typed columns -> IQR cut -> double features, zero-filled.
 
-    The deduplicated rows are persisted once; all five low-cardinality
-    indices come from one multi-column ``StringIndexer`` pass over them
-    (the notebook's separate fits give the same indices, since those
-    columns are not modified in between), and the address index from the
-    distributed frequency index.
+    The deduplicated rows are persisted once; the low-cardinality indices
+    come from one multi-column ``StringIndexer`` pass over them (the
+    notebook's separate fits give the same indices, since those columns are
+    not modified in between), and the address index -- chosen by measured
+    cardinality -- from the distributed frequency index.
     """
     mode = "as_written" if as_written else "intended"
     invalid = "error" if as_written else "keep"
     base = profile.dedup_rows(raw).persist(StorageLevel.MEMORY_AND_DISK)
-    cats = ["province", *INDEXED_B]
-    idx_model = features.string_indexer(cats, "_index", invalid).fit(base)
-    df = idx_model.transform(base)
-    df = features.frequency_index(df, "address", "address_index", invalid)
+    # province, address and the four categories: the small ones in one
+    # StringIndexer pass, address (about one label per listing) distributed.
+    df = features.index_columns(base, ["province", "address", *INDEXED_B], "_index", invalid)
     df = df.withColumns({
         "price": price_usd("price", mode),
         "new_construction": equals_flag("new_construction", NEW_CONSTRUCTION_YES),

@@ -68,3 +68,13 @@ def test_hash_split_invariant_to_partitioning(spark, sf_small):
     assert 0.7 * n < a_train.count() < 0.9 * n
     folds = fe.hash_folds(df, "address", 5).groupBy("fold").count().collect()
     assert sorted(r["fold"] for r in folds) == [0, 1, 2, 3, 4]
+
+
+def test_index_columns_routes_by_cardinality(spark, sf_small):
+    from hearth.sources.listings import listings
+    df = listings(spark, sf_small).select("address", "province")
+    mixed = fe.index_columns(df, ["address", "province"], "_i", "keep", max_driver_labels=100)
+    ref = fe.string_indexer(["address", "province"], "_r", "keep").fit(df).transform(df)
+    a = sorted(tuple(r) for r in mixed.select("address", "address_i", "province", "province_i").collect())
+    b = sorted(tuple(r) for r in ref.select("address", "address_r", "province", "province_r").collect())
+    assert a == b
