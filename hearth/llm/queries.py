@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearth.llm import chat, lines, packing, quality, urls, warc
+from hearth.llm import chat, decontam, jaccard, lines, packing, quality, urls, warc
 from hearth.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,6 +89,13 @@ def op3_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_verdict")
 
 
+@_query()
+def op4_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark passage in the documents: (doc_id, item_id) and where it lies."""
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return decontam.leaks(docs, read_table(spark, sf_dir, "benchmark", ["item_id", "text"]))
+
+
 _LINES = lines.LineRules()
 
 
@@ -143,6 +150,12 @@ def op6_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read_table(spark, sf_dir, "documents", ["doc_id", "text"]), _PACK)
 
 
+@_query()
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's class of near-duplicates and its number of links."""
+    return jaccard.similar_classes(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
 @_query(rf"""
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(encode(coalesce(html, ''))) AS h FROM pages),
 x AS (SELECT *, octet_length(b) AS n, max(page_id) OVER (PARTITION BY h) AS first FROM p)
