@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearth.session import scratch_path
@@ -24,3 +24,8 @@ def bounded(df: DataFrame, row_bytes: int) -> DataFrame:
     """Hint a broadcast of a *materialised* ``df`` if its counted size is under
     ``BROADCAST_BYTES``; otherwise leave the join to the optimizer (shuffle)."""
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
+def small(df: DataFrame, size: Column) -> DataFrame:
+    """The same for rows of varying size: ``size`` is a row's bytes."""
+    return F.broadcast(df) if (df.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else df

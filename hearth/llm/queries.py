@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearth.llm import chat, decontam, jaccard, lines, packing, quality, urls, warc
+from hearth.llm import chat, decontam, jaccard, lines, packing, pii, quality, suffix, urls, warc
 from hearth.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,12 @@ def _query(sql: str | None = None):
     return register
 
 
+@_query()
+def op1_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's personal data: base spans, and those the trees add."""
+    return pii.pii_spans(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
 _ESCAPED = r"""regexp_replace(regexp_replace(regexp_replace(replace(coalesce({}, ''), '\', '\0'),
   '<(/?s>|</?SYS>>|\|[A-Za-z0-9_]+\|>)', '\\1\1', 'g'), '<(/?s>|</?SYS>>|\|[A-Za-z0-9_]+\|>)', '\\1\1', 'g'),
   '\[(/?INST\])', '\\2\1', 'g')"""
@@ -167,6 +173,13 @@ def op8_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_back(warc.archive(read_table(spark, sf_dir, "pages", ["page_id", "url", "html"])))
 
 
+@_query()
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of 200-byte strings that start elsewhere too."""
+    rows = suffix.dedup(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def _terms(terms: tuple[str, ...]) -> str:
     return " + ".join(f"CAST(regexp_matches(u, '(^|[^a-z0-9]){t}([^a-z0-9]|$)') AS BIGINT)" for t in terms)
 
