@@ -63,22 +63,32 @@ def _same(a: str, b: str) -> Column:
     return F.col(a).eqNullSafe(F.col(b))
 
 
+def _union(tables: list[DataFrame]) -> DataFrame:
+    whole = tables[0]
+    for table in tables[1:]:
+        whole = whole.unionByName(table)
+    return whole
+
+
 def _ancestors(links: DataFrame, nodes: int) -> tuple[list[DataFrame], DataFrame]:
-    """Level k holds every message's 2**k-th ancestor; the last table holds each
-    message's depth and the score sum of its path."""
-    level = links.select("tree", "msg", F.col("parent").alias("anc"), F.lit(1).cast("long").alias("depth"),
+    """Level k holds the 2**k-th ancestor of every message that has one; the last
+    table holds each message's depth and the score sum of its path.  Messages
+    whose root is known take no further part."""
+    state = links.select("tree", "msg", F.col("parent").alias("anc"), F.lit(1).cast("long").alias("depth"),
                          F.coalesce("score", F.lit(0.0)).alias("total"))
-    levels = []
-    for _ in range(max(1, math.ceil(math.log2(max(2, nodes)))) + 2):
-        level = materialise(level, "ancestors")
-        if level.filter("anc is not null").isEmpty():
-            return levels, level
-        levels.append(level.filter("anc is not null").select("tree", "msg", "anc"))
-        up = level.select(F.col("tree").alias("t"), F.col("msg").alias("m"), F.col("anc").alias("a"),
-                          F.col("depth").alias("d"), F.col("total").alias("s"))
-        level = level.join(up, _same("tree", "t") & (F.col("anc") == F.col("m")), "left").select(
-            "tree", "msg", F.col("a").alias("anc"), (F.col("depth") + F.coalesce("d", F.lit(0))).alias("depth"),
-            (F.col("total") + F.coalesce("s", F.lit(0.0))).alias("total"))
+    levels: list[DataFrame] = []
+    done: list[DataFrame] = []
+    for _ in range(math.ceil(math.log2(max(2, nodes))) + 2):
+        state = materialise(state, "ancestors")
+        done.append(state.filter("anc is null"))
+        state = state.filter("anc is not null")
+        if state.isEmpty():
+            return levels, _union(done)
+        levels.append(state.select("tree", "msg", "anc"))
+        up = _union([state, *done]).select(F.col("tree").alias("t"), F.col("msg").alias("m"), F.col("anc").alias("a"),
+                                           F.col("depth").alias("d"), F.col("total").alias("s"))
+        state = state.join(up, _same("tree", "t") & (F.col("anc") == F.col("m"))).select(
+            "tree", "msg", F.col("a").alias("anc"), (F.col("depth") + F.col("d")).alias("depth"), (F.col("total") + F.col("s")).alias("total"))
     raise ValueError("the parents of some messages form a cycle")
 
 
@@ -97,11 +107,12 @@ def chosen_paths(messages: DataFrame, paths_per_tree: int | None = 1) -> DataFra
     if paths_per_tree is not None:
         rank = Window.partitionBy("tree").orderBy((F.col("total") / F.col("depth")).desc(), "msg")
         leaves = leaves.withColumn("_rank", F.row_number().over(rank)).filter(F.col("_rank") <= paths_per_tree)
-    paths = leaves.select("tree", F.col("msg").alias("leaf"), "msg")
-    for level in levels:
+    parts = [materialise(leaves.select("tree", F.col("msg").alias("leaf"), "msg"), "paths")]
+    for level in levels:  # each level adds the messages that lie 2**k above those known
         up = level.select(F.col("tree").alias("t"), F.col("msg").alias("m"), "anc")
-        paths = paths.join(up, _same("tree", "t") & (F.col("msg") == F.col("m")), "left").select(
-            "tree", "leaf", F.explode(F.array_compact(F.array("msg", "anc"))).alias("msg"))
+        more = _union(parts).join(up, _same("tree", "t") & (F.col("msg") == F.col("m")))
+        parts.append(materialise(more.select("tree", "leaf", F.col("anc").alias("msg")), "paths"))
+    paths = _union(parts)
     depth = whole.select(F.col("tree").alias("t"), F.col("msg").alias("m"), "depth")
     return paths.join(depth, _same("tree", "t") & (F.col("msg") == F.col("m"))).drop("t", "m")
 
