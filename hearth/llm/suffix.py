@@ -55,7 +55,7 @@ _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd multipliers of the two
 @dataclass(frozen=True)
 class SuffixRules:
     #: Text bytes of a chunk (one longer document is a chunk by itself).
-    chunk_bytes: int = 4 << 20
+    chunk_bytes: int = 1 << 20
     #: Entries that a bucket should hold; more entries make more buckets.
     bucket_entries: int = 1 << 20
 
