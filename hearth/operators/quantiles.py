@@ -16,9 +16,11 @@
   buckets (a distributed group-count whose result has at most
   ``bins`` rows per searched rank), the bucket holding the wanted rank
   becomes the next window (bounded by its real min and max), and the loop
-  ends when the window holds one distinct value or few enough rows to
-  fetch.  Floating-point bucketing is monotone in the value, so a bucket is
-  always a contiguous run of the sorted column and the counts are exact.
+  ends when the window holds one distinct value.  Floating-point bucketing is
+  monotone in the value, so a bucket is always a contiguous run of the sorted
+  column and the counts are exact.  A window's smallest and largest value fall
+  into different buckets, so every pass shrinks it; infinities are counted
+  apart and never bucketed.  The route is the same for every table size.
 """
 
 from __future__ import annotations
@@ -31,7 +33,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_BINS = 4096
-DEFAULT_FETCH_LIMIT = 50_000
 
 
 def _clean(df: DataFrame, col: str | Column) -> DataFrame:
@@ -68,9 +69,17 @@ def approx_quantiles(df: DataFrame, col: str, probs: list[float],
     return [float(v) for v in got]
 
 
-def _order_statistics(x: DataFrame, ranks: list[int], lo: float, hi: float,
-                      bins: int, fetch_limit: int) -> dict[int, float]:
-    """Exact 0-based order statistics of the non-null column ``x``."""
+def _bucket(a: float, b: float, bins: int) -> Column:
+    """0..bins-1 for values of [a, b]; halves where the span itself overflows."""
+    if b <= a:
+        return F.lit(0)
+    scale = 1.0 if math.isfinite(b - a) else 0.5
+    share = (F.col("x") * scale - F.lit(a * scale)) / F.lit(b * scale - a * scale)
+    return F.least(F.floor(share * bins), F.lit(bins - 1)).cast("int")
+
+
+def _order_statistics(x: DataFrame, ranks: list[int], lo: float, hi: float, bins: int) -> dict[int, float]:
+    """Exact 0-based order statistics of the finite values of ``x``."""
     # rank -> (window low, window high, number of values below the window)
     windows = {r: (lo, hi, 0) for r in ranks}
     found: dict[int, float] = {}
@@ -83,12 +92,7 @@ def _order_statistics(x: DataFrame, ranks: list[int], lo: float, hi: float,
         tagged = []
         for gid, (a, b, _) in enumerate(keys):
             inside = (F.col("x") >= a) & (F.col("x") <= b)
-            if b > a:
-                bucket = F.least(F.floor((F.col("x") - F.lit(a)) / F.lit(b - a) * bins),
-                                 F.lit(bins - 1)).cast("int")
-            else:
-                bucket = F.lit(0)
-            tagged.append(F.when(inside, F.struct(F.lit(gid).alias("g"), bucket.alias("b"))))
+            tagged.append(F.when(inside, F.struct(F.lit(gid).alias("g"), _bucket(a, b, bins).alias("b"))))
         hist = (x.select("x", F.explode(F.filter(F.array(*tagged), lambda s: s.isNotNull())).alias("t"))
                  .groupBy(F.col("t.g").alias("g"), F.col("t.b").alias("b"))
                  .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("mn"), F.max("x").alias("mx"))
@@ -97,7 +101,6 @@ def _order_statistics(x: DataFrame, ranks: list[int], lo: float, hi: float,
         for row in hist:
             by_group.setdefault(row["g"], []).append(row)
         next_windows: dict[int, tuple[float, float, int]] = {}
-        to_fetch: dict[tuple[float, float, int], list[int]] = {}
         for gid, key in enumerate(keys):
             _, _, below = key
             buckets = sorted(by_group.get(gid, []), key=lambda r: r["b"])
@@ -107,44 +110,36 @@ def _order_statistics(x: DataFrame, ranks: list[int], lo: float, hi: float,
                     if seen + bk["n"] > r:
                         if bk["mn"] == bk["mx"]:
                             found[r] = float(bk["mn"])
-                        elif bk["n"] <= fetch_limit:
-                            to_fetch.setdefault((bk["mn"], bk["mx"], seen), []).append(r)
                         else:
                             next_windows[r] = (bk["mn"], bk["mx"], seen)
                         break
                     seen += bk["n"]
                 else:  # pragma: no cover - counts are exact, so unreachable
                     raise RuntimeError(f"rank {r} not found in histogram")
-        if to_fetch:
-            # One job for all small windows; each holds at most fetch_limit
-            # rows, so the driver sorts a bounded list.
-            wins = list(to_fetch)
-            ids = [F.when((F.col("x") >= a) & (F.col("x") <= b), F.lit(i))
-                   for i, (a, b, _) in enumerate(wins)]
-            got = (x.select("x", F.explode(F.filter(F.array(*ids), lambda s: s.isNotNull())).alias("w"))
-                    .collect())
-            per_win: dict[int, list[float]] = {}
-            for row in got:
-                per_win.setdefault(row["w"], []).append(row["x"])
-            for i, (a, b, below) in enumerate(wins):
-                vals = sorted(per_win.get(i, []))
-                for r in to_fetch[(a, b, below)]:
-                    found[r] = float(vals[r - below])
+                if next_windows.get(r) == key:
+                    raise RuntimeError(f"the window {key} of rank {r} does not shrink")
         windows = next_windows
     return found
 
 
+def _between(a: float, b: float, share: float) -> float:
+    """Linear interpolation that survives equal infinities and overflowing spans."""
+    if share == 0 or a == b:
+        return a
+    return a + share * (b - a) if math.isfinite(b - a) else a * (1 - share) + b * share
+
+
 def exact_quantiles(df: DataFrame, col: str | Column, probs: list[float],
-                    bins: int = DEFAULT_BINS, fetch_limit: int = DEFAULT_FETCH_LIMIT,
-                    persist: bool = True) -> list[float | None]:
+                    bins: int = DEFAULT_BINS, persist: bool = True) -> list[float | None]:
     """Linearly interpolated quantiles (``quantile_cont``) of non-null values."""
     x = _clean(df, col)
     if persist:
         x = x.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        st = x.agg(F.count("x").alias("n"), F.min("x").alias("mn"),
-                   F.max("x").alias("mx")).first()
-        n = st["n"]
+        finite = F.when(F.abs("x") < F.lit(math.inf), F.col("x"))
+        st = x.agg(F.count("x").alias("n"), F.count_if(F.col("x") == F.lit(-math.inf)).alias("below"),
+                   F.count(finite).alias("finite"), F.min(finite).alias("mn"), F.max(finite).alias("mx")).first()
+        n, below, count = st["n"], st["below"], st["finite"]
         if not n:
             return [None] * len(probs)
         positions = []
@@ -157,13 +152,12 @@ def exact_quantiles(df: DataFrame, col: str | Column, probs: list[float],
             hi_r = min(lo_r + 1, n - 1)
             positions.append((h, lo_r, hi_r))
             ranks.update((lo_r, hi_r))
-        stats = _order_statistics(x, sorted(ranks), float(st["mn"]), float(st["mx"]),
-                                  bins, fetch_limit)
-        out = []
-        for h, lo_r, hi_r in positions:
-            a, b = stats[lo_r], stats[hi_r]
-            out.append(a + (h - lo_r) * (b - a))
-        return out
+        stats = {r: -math.inf if r < below else math.inf for r in ranks}
+        wanted = sorted(r - below for r in ranks if below <= r < below + count)
+        if wanted:
+            inside = _order_statistics(x, wanted, float(st["mn"]), float(st["mx"]), bins)
+            stats.update({r + below: v for r, v in inside.items()})
+        return [_between(stats[lo_r], stats[hi_r], h - lo_r) for h, lo_r, hi_r in positions]
     finally:
         if persist:
             x.unpersist()

@@ -20,8 +20,8 @@ def test_exact_matches_numpy(spark, kind):
         x = np.concatenate([np.full(n // 3, 42.0), rng.normal(0, 1, n - n // 3)])
     df = spark.createDataFrame([(float(v),) for v in x], "x double").repartition(5)
     probs = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
-    # tiny bins and fetch limit force several refinement passes
-    got = exact_quantiles(df, "x", probs, bins=8, fetch_limit=16)
+    # few bins force several refinement passes
+    got = exact_quantiles(df, "x", probs, bins=8)
     want = np.percentile(x, [p * 100 for p in probs])
     assert got == pytest.approx(list(want), rel=1e-12, abs=1e-12)
 
@@ -42,3 +42,29 @@ def test_null_price_in_neither_set(spark):
     kept, out, b = split_outliers(df, "price", relative_error=None)
     assert kept.count() + out.count() == 101
     assert [r.price for r in out.collect()] == [10000.0]
+
+
+@pytest.mark.parametrize("n", [40_000, 200_000])
+@pytest.mark.parametrize("extreme", [[np.inf], [-np.inf], [np.inf, -np.inf, np.inf], [1e308, -1e308], [5e-324, 1.7e308, -1.7e308]])
+def test_extremes_do_not_change_the_route(spark, n, extreme):
+    """One infinity or an overflowing span neither stalls the search nor shifts a rank."""
+    df = spark.range(0, n, 1, 4).selectExpr("CAST((id * 7919) % 10007 AS DOUBLE) + id / 1000000.0 AS x")
+    df = df.unionByName(spark.createDataFrame([(v,) for v in extreme], "x double"))
+    got = exact_quantiles(df, "x", [0.0, 0.1, 0.25, 0.5, 0.75, 1.0])
+    ids = np.arange(n)
+    x = np.concatenate([(ids * 7919) % 10007 + ids / 1e6, extreme])
+    assert got == pytest.approx([float(np.min(x)), *np.quantile(x, [0.1, 0.25, 0.5, 0.75]), float(np.max(x))], rel=1e-12)
+
+
+def test_only_infinities(spark):
+    df = spark.createDataFrame([(np.inf,), (np.inf,), (-np.inf,)], "x double")
+    assert exact_quantiles(df, "x", [0.0, 0.5, 1.0]) == [-np.inf, np.inf, np.inf]
+
+
+def test_sketch_keeps_its_rank_error(spark):
+    from hearth.operators.quantiles import approx_quantiles
+    n, error = 20_000, 0.05
+    df = spark.range(n).selectExpr("CAST((id * 7919) % 20011 AS DOUBLE) AS x")
+    x = np.sort((np.arange(n) * 7919) % 20011)
+    for p, v in zip([0.25, 0.5, 0.75], approx_quantiles(df, "x", [0.25, 0.5, 0.75], error)):
+        assert abs(np.searchsorted(x, v) - p * n) <= error * n + 1
