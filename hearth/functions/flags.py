@@ -70,8 +70,3 @@ def listing_flags(mode: str = "intended") -> dict[str, Column]:
         "renovation_flag": member_flag("renovation", RENOVATION_YES),
         "furniture_binary": member_flag("furniture", FURNITURE_YES),
     }
-
-
-def suffixed(columns: list[str] | tuple[str, ...], suffix: str) -> list[str]:
-    """Generated output names: ``['rooms'] , '_int' -> ['rooms_int']``."""
-    return [f"{c}{suffix}" for c in columns]

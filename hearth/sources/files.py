@@ -16,11 +16,20 @@ from pyspark.sql import types as T
 
 from hearth.sources.listings import RAW_SCHEMA, snake_case
 
+#: What the parser makes of an empty unquoted field; a quoted one stays an empty text.
+NO_VALUE = "\u0001"
+
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHEMA,
-             sep: str = ",", header: bool = True, infer_schema: bool = False) -> DataFrame:
-    """Read delimited text into ``schema`` (by header name, any column order)."""
-    reader = spark.read.option("header", header).option("sep", sep).option("multiLine", False)
+             sep: str = ",", header: bool = True, infer_schema: bool = False,
+             multi_line: bool = False) -> DataFrame:
+    """Read delimited text into ``schema`` (by header name, any column order).
+
+    A quote inside a quoted field is doubled.  ``multi_line`` allows line
+    breaks inside quoted fields, at the price that a file is no longer split.
+    """
+    reader = (spark.read.option("header", header).option("sep", sep).option("multiLine", multi_line)
+              .option("quote", '"').option("escape", '"').option("nullValue", NO_VALUE))
     if infer_schema:
         df = reader.option("inferSchema", True).csv(path)
         return df.toDF(*[snake_case(c) for c in df.columns])
@@ -37,8 +46,11 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHEMA,
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite", sep: str = ",") -> None:
-    """Write with a header row; nulls as empty fields, text with ``sep`` quoted."""
-    df.write.mode(mode).option("header", True).option("sep", sep).csv(path)
+    """Write with a header row; nulls as empty fields, empty texts as ``""``, text
+    with ``sep``, quotes or line breaks quoted and its quotes doubled."""
+    (df.write.mode(mode).option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
+       .option("emptyValue", '""').option("ignoreLeadingWhiteSpace", False)
+       .option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite",
@@ -47,9 +59,3 @@ def write_parquet(df: DataFrame, path: str, mode: str = "overwrite",
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
-
-
-def register_view(df: DataFrame, name: str) -> DataFrame:
-    """Name a DataFrame for ``spark.sql`` (session-scoped temp view)."""
-    df.createOrReplaceTempView(name)
-    return df

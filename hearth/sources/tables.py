@@ -20,10 +20,3 @@ def read_table(spark: SparkSession, sf_dir: str, name: str,
     """Parquet scan; naming the columns up front keeps ``ReadSchema`` narrow."""
     df = spark.read.parquet(table_path(sf_dir, name))
     return df.select(*columns) if columns else df
-
-
-def register_views(spark: SparkSession, sf_dir: str,
-                   names: tuple[str, ...] = TABLES) -> None:
-    """Expose the tables to ``spark.sql`` under their own names."""
-    for name in names:
-        read_table(spark, sf_dir, name).createOrReplaceTempView(name)

@@ -7,7 +7,7 @@ in a folder is parsed with the same column functions as the batch path
 Spark's state store:
 
 * source: ``readStream`` over a folder, declared schema (no inference),
-  bounded intake per micro-batch (``maxFilesPerTrigger``);
+  intake per micro-batch as a parameter (``maxFilesPerTrigger``);
 * state: one row per province (bounded by the number of provinces), sums
   and counts so the mean can be derived without keeping rows;
 * sink: ``foreachBatch`` writes each epoch's complete result to its own
@@ -22,24 +22,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hearth.functions.parse import price_usd
-from hearth.operators.clean import typed_listings
 from hearth.sources.listings import RAW_SCHEMA
 
 
 def listing_stream(spark: SparkSession, path: str, fmt: str = "parquet",
-                   schema: T.StructType = RAW_SCHEMA, max_files: int = 4) -> DataFrame:
-    """Streaming DataFrame of raw listings arriving as files in ``path``."""
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+                   schema: T.StructType = RAW_SCHEMA, max_files: int | None = None) -> DataFrame:
+    """Streaming DataFrame of raw listings arriving as files in ``path``;
+    ``max_files`` bounds a micro-batch (none: all files that have arrived)."""
+    reader = spark.readStream.schema(schema)
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
     if fmt == "csv":
         return reader.option("header", True).csv(path)
     return reader.format(fmt).load(path)
 
 
-def cleaned_stream(stream: DataFrame, mode: str = "intended") -> DataFrame:
-    """Stateless: the batch cleaning applied to each micro-batch."""
-    return typed_listings(stream, mode)
-
-
 def province_price_state(stream: DataFrame, mode: str = "intended") -> DataFrame:
     """Running per-province counts and price sums (complete-mode aggregate)."""
     t = stream.select("province", price_usd("price", mode).alias("price"))
@@ -50,17 +47,21 @@ def province_price_state(stream: DataFrame, mode: str = "intended") -> DataFrame
     )
 
 
-def run_available(agg: DataFrame, out_dir: str, checkpoint_dir: str) -> str:
-    """Process everything available now; return the folder of the last epoch."""
+def run_available(agg: DataFrame, out_dir: str, checkpoint_dir: str) -> str | None:
+    """Process everything available now; return the folder of the last epoch
+    that was written by this run (none if nothing was new)."""
+    written: list[str] = []
+
     def sink(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out_dir}/epoch={epoch:09d}")
+        folder = f"{out_dir}/epoch={epoch:09d}"
+        batch.write.mode("overwrite").parquet(folder)
+        written.append(folder)
 
     q = (agg.writeStream.outputMode("complete").foreachBatch(sink)
             .option("checkpointLocation", checkpoint_dir)
             .trigger(availableNow=True).start())
     q.awaitTermination()
-    last = q.lastProgress["batchId"] if q.lastProgress else 0
-    return f"{out_dir}/epoch={last:09d}"
+    return written[-1] if written else None
 
 
 def province_price_from_state(spark: SparkSession, folder: str, digits: int = 4) -> DataFrame:
