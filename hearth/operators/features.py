@@ -3,13 +3,14 @@
 Built on Spark ML stages (``StringIndexer``, ``VectorAssembler``,
 ``PolynomialExpansion``, ``StandardScaler``, ``Pipeline``).  Two additions:
 
-* ``frequency_index`` -- the same index ``StringIndexer`` assigns (frequency
-  descending, ties by label) for *high-cardinality* columns such as a street
-  address.  ``StringIndexer.fit`` collects every label to the driver and
-  broadcasts the label array back; with one label per row that is the
-  whole column on the driver.  Here the labels are counted, range-sorted
-  and numbered in a distributed way, and the label->index table is joined
-  back (broadcast only when its measured row count is small).
+* ``FrequencyIndex`` -- the same index ``StringIndexer`` assigns (frequency
+  descending, ties by label) for columns with any number of labels, such as a
+  street address.  ``StringIndexer.fit`` collects every label to the driver
+  and broadcasts the label array back; with one label per row that is the
+  whole column on the driver.  Here the labels of all columns are counted,
+  range-sorted and numbered in one distributed pass, and the fitted
+  label->index tables are joined to whatever is transformed; the optimizer
+  picks the join by their size.  One route for every column and size.
 * ``hash_split`` / ``hash_folds`` -- repeatable train/test splits and CV
   folds from a hash of a key, independent of partitioning (``randomSplit``
   draws per partition, so the same rows and seed give different splits when
@@ -18,20 +19,18 @@ Built on Spark ML stages (``StringIndexer``, ``VectorAssembler``,
 
 from __future__ import annotations
 
+import json
+from dataclasses import dataclass
+
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import (
     PolynomialExpansion, StandardScaler, StringIndexer, VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearth.session import shared_dir
-
-# Broadcast the label table only below this many labels (its size is then
-# bounded by labels x average label length, checked by a count first).
-BROADCAST_LABELS_MAX = 1_000_000
-
+from hearth.session import stage
 
 def string_indexer(columns: list[str] | tuple[str, ...], suffix: str = "_indexed",
                    handle_invalid: str = "keep") -> StringIndexer:
@@ -40,77 +39,111 @@ def string_indexer(columns: list[str] | tuple[str, ...], suffix: str = "_indexed
                          handleInvalid=handle_invalid, stringOrderType="frequencyDesc")
 
 
-def frequency_index(df: DataFrame, col: str, out_col: str | None = None,
-                    handle_invalid: str = "keep", partitions: int | None = None) -> DataFrame:
-    """Exact ``StringIndexer`` indices for a column with any number of labels.
+# Partitions over which the null rows of a join are spread.
+NULL_SPREAD = 1024
+
+
+@dataclass
+class FrequencyIndex:
+    """Fitted indices: ``labels`` has (column, label, idx), ``sizes`` the labels per column.
+
+    ``transform`` works on any later batch.  ``handle_invalid`` treats nulls and
+    labels that were not seen at the fit alike: ``keep`` gives them index =
+    number of labels, ``skip`` drops their rows, ``error`` raises.
+    """
 
-    ``handle_invalid``: ``keep`` puts null at index = number of labels,
-    ``skip`` drops null rows, ``error`` raises if a null is present.
+    labels: DataFrame
+    sizes: dict[str, int]
+    suffix: str
+    handle_invalid: str
+
+    def transform(self, df: DataFrame, out_cols: dict[str, str] | None = None) -> DataFrame:
+        """``df`` with one index column per fitted column after its own columns."""
+        names = df.columns
+        out = df
+        for col in self.sizes:
+            out = self._joined(out, col, (out_cols or {}).get(col, col + self.suffix))
+        return out.select(*names, *[c for c in out.columns if c not in names])
+
+    def _joined(self, df: DataFrame, col: str, out_col: str) -> DataFrame:
+        table = self.labels.where(F.col("column") == col).select(
+            F.col("label").alias("_label"), F.col("idx").alias("_idx"), F.lit(None).cast("bigint").alias("_none"))
+        # Nulls match nothing; a second key deals them out instead of hashing
+        # them all to one partition.
+        spread = F.pmod(F.xxhash64(*[c for c in df.columns if c != col], F.spark_partition_id()), F.lit(NULL_SPREAD))
+        rows = df.withColumn("_null", F.when(F.col(col).isNull(), spread))
+        rows = rows.join(table, (F.col(col).cast("string") == F.col("_label")) & F.col("_null").eqNullSafe(F.col("_none")), "left")
+        if self.handle_invalid == "skip":
+            rows = rows.where(F.col("_idx").isNotNull())
+            other = F.lit(None).cast("double")
+        elif self.handle_invalid == "error":
+            other = F.raise_error(F.concat(F.lit(f"no index of {col} for: "), F.coalesce(F.col(col).cast("string"), F.lit("null")))).cast("double")
+        else:
+            other = F.lit(float(self.sizes[col]))
+        return rows.withColumn(out_col, F.coalesce(F.col("_idx"), other)).drop("_null", "_label", "_idx", "_none")
+
+    def save(self, path: str) -> None:
+        """The labels as Parquet (partitioned by column), the rest as one JSON row."""
+        spark = self.labels.sparkSession
+        self.labels.write.mode("overwrite").partitionBy("column").parquet(f"{path}/labels")
+        head = json.dumps({"sizes": self.sizes, "suffix": self.suffix, "handle_invalid": self.handle_invalid})
+        spark.createDataFrame([(head,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/head")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> FrequencyIndex:
+        head = json.loads(spark.read.text(f"{path}/head").first()[0])
+        schema = "label string, idx double, column string"
+        return FrequencyIndex(spark.read.schema(schema).parquet(f"{path}/labels"), **head)
+
+
+def fit_index(df: DataFrame, columns: list[str] | tuple[str, ...], suffix: str = "_index",
+              handle_invalid: str = "keep", partitions: int | None = None) -> FrequencyIndex:
+    """Counts the labels of all columns in one pass and numbers them.
+
+    ``error`` raises here if the fitted rows hold a null, as ``StringIndexer`` does.
     """
-    out_col = out_col or f"{col}_index"
+    if handle_invalid not in ("keep", "skip", "error"):
+        raise ValueError(f"unknown handle_invalid: {handle_invalid}")
     spark = df.sparkSession
-    counts = (df.where(F.col(col).isNotNull()).groupBy(col)
-                .agg(F.count(F.lit(1)).alias("_n")))
-    order = [F.col("_n").desc(), F.col(col).asc()]
+    cols = list(columns)
+    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("c"), F.col(c).cast("string").alias("label")) for k, c in enumerate(cols)]))
+    counts = df.select(cells.alias("x")).groupBy("x.c", "x.label").agg(F.count(F.lit(1)).alias("n"))
+    order = [F.col("c"), F.col("n").desc(), F.col("label").asc_nulls_last()]
     n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Range-partition by the index order (partition p holds a contiguous run
     # of it) and sort inside each partition; then a row's position in its
     # partition is the low 33 bits of monotonically_increasing_id().  No
-    # window, no second shuffle.
-    ranged = (counts.repartitionByRange(n_parts, *order)
-                    .sortWithinPartitions(*order)
-                    .select(col, F.spark_partition_id().alias("_pid"),
-                            F.monotonically_increasing_id().alias("_mid")))
-    # Cut the lineage so the numbering cannot change between the two uses
-    # below (reliable checkpoint to the shared folder, not executor-local).
-    shared_dir(spark)
-    ranged = ranged.checkpoint(eager=True)
-    sizes = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c")).collect()  # <= n_parts rows
-    offsets, acc = [], 0
-    for row in sorted(sizes, key=lambda r: r["_pid"]):
-        offsets.append((row["_pid"], acc))
-        acc += row["_c"]
-    n_labels = acc
-    off_df = spark.createDataFrame(offsets or [(0, 0)], "_pid int, _off bigint")
-    local_pos = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
-    labels = (ranged.join(F.broadcast(off_df), "_pid")   # <= n_parts rows
-                    .select(F.col(col), (F.col("_off") + local_pos).cast("double").alias(out_col)))
-    if n_labels <= BROADCAST_LABELS_MAX:
-        labels = F.broadcast(labels)
-    if handle_invalid == "error":
-        nulls = df.where(F.col(col).isNull()).limit(1).count()
-        if nulls:
-            raise ValueError(f"column {col!r} has null values (handle_invalid='error')")
-    joined = df.join(labels, on=col, how="left")
-    if handle_invalid == "skip":
-        return joined.where(F.col(out_col).isNotNull())
-    return joined.withColumn(out_col, F.coalesce(F.col(out_col), F.lit(float(n_labels))))
-
-
-# StringIndexer keeps every label on the driver; use it only below this
-# many (estimated) distinct labels per column.
-DRIVER_LABELS_MAX = 100_000
+    # window, no second shuffle.  Written once, so that the numbering cannot
+    # change between its uses.
+    ranged = stage(counts.repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
+                   .select("c", "label", F.spark_partition_id().alias("pid"), F.monotonically_increasing_id().alias("mid")), "index-order")
+    # <= n_parts + columns rows: a column's labels fill a contiguous run of partitions
+    cells_of = (ranged.groupBy("pid", "c").agg(F.count("label").alias("n"), F.min("mid").alias("first"),
+                                               F.count_if(F.col("label").isNull()).alias("nulls")).collect())
+    sizes = {c: 0 for c in cols}
+    offsets = []
+    for row in sorted(cells_of, key=lambda r: (r["c"], r["pid"])):
+        if handle_invalid == "error" and row["nulls"]:
+            raise ValueError(f"column {cols[row['c']]!r} has null values (handle_invalid='error')")
+        offsets.append((row["pid"], row["c"], cols[row["c"]], sizes[cols[row["c"]]] - row["first"]))
+        sizes[cols[row["c"]]] += row["n"]
+    at = spark.createDataFrame(offsets, "pid int, c int, column string, shift bigint")
+    labels = ranged.where(F.col("label").isNotNull()).join(F.broadcast(at), ["pid", "c"]).select(  # <= n_parts + columns rows
+        "column", "label", (F.col("mid") + F.col("shift")).cast("double").alias("idx"))
+    return FrequencyIndex(stage(labels, "index-labels"), sizes, suffix, handle_invalid)
 
 
-def index_columns(df: DataFrame, columns: list[str] | tuple[str, ...], suffix: str = "_index",
-                  handle_invalid: str = "keep", max_driver_labels: int = DRIVER_LABELS_MAX) -> DataFrame:
-    """Index several string columns, choosing the strategy per column by size.
+def frequency_index(df: DataFrame, col: str, out_col: str | None = None,
+                    handle_invalid: str = "keep", partitions: int | None = None) -> DataFrame:
+    """Fits the index of one column and applies it to the same rows."""
+    model = fit_index(df, [col], handle_invalid=handle_invalid, partitions=partitions)
+    return model.transform(df, {col: out_col or f"{col}_index"})
 
-    One pass estimates each column's distinct count (HyperLogLog, bounded
-    memory); columns safely under ``max_driver_labels`` share one
-    multi-column ``StringIndexer`` fit, the others use ``frequency_index``.
-    Both give the same indices (frequency desc, ties by label).
-    """
-    cols = list(columns)
-    est = df.agg(*[F.approx_count_distinct(c, 0.01).alias(c) for c in cols]).first()
-    small = [c for c in cols if est[c] * 1.05 < max_driver_labels]
-    large = [c for c in cols if c not in small]
-    out = df
-    if small:
-        out = string_indexer(small, suffix, handle_invalid).fit(out).transform(out)
-    for c in large:
-        out = frequency_index(out, c, c + suffix, handle_invalid)
-    return out
+
+def index_columns(df: DataFrame, columns: list[str] | tuple[str, ...], suffix: str = "_index",
+                  handle_invalid: str = "keep") -> DataFrame:
+    """Fits the indices of several columns in one pass and applies them to the same rows."""
+    return fit_index(df, columns, suffix, handle_invalid).transform(df)
 
 
 def assembler(columns: list[str] | tuple[str, ...], out_col: str = "features",

@@ -70,11 +70,51 @@ def test_hash_split_invariant_to_partitioning(spark, sf_small):
     assert sorted(r["fold"] for r in folds) == [0, 1, 2, 3, 4]
 
 
-def test_index_columns_routes_by_cardinality(spark, sf_small):
+def test_index_columns_equals_string_indexer(spark, sf_small):
     from hearth.sources.listings import listings
     df = listings(spark, sf_small).select("address", "province")
-    mixed = fe.index_columns(df, ["address", "province"], "_i", "keep", max_driver_labels=100)
+    mixed = fe.index_columns(df, ["address", "province"], "_i", "keep")
     ref = fe.string_indexer(["address", "province"], "_r", "keep").fit(df).transform(df)
     a = sorted(tuple(r) for r in mixed.select("address", "address_i", "province", "province_i").collect())
     b = sorted(tuple(r) for r in ref.select("address", "address_r", "province", "province_r").collect())
     assert a == b
+
+
+def test_index_is_fitted_once_and_applied_to_later_batches(spark, tmp_path):
+    fitted = spark.createDataFrame([("b", 1), ("a", 2), ("a", 3), (None, 4), ("c", 5)], "c string, k int")
+    later = spark.createDataFrame([(9, "a"), (8, None), (7, "new"), (6, "c")], "k int, c string")
+    model = fe.fit_index(fitted, ["c"], "_i", "keep")
+    model.save(str(tmp_path / "index"))
+    for m in (model, fe.FrequencyIndex.load(spark, str(tmp_path / "index"))):
+        out = m.transform(later)
+        assert out.columns == ["k", "c", "c_i"]   # the input's order
+        assert sorted((r.k, r.c_i) for r in out.collect()) == [(6, 2.0), (7, 3.0), (8, 3.0), (9, 0.0)]
+    skip = fe.fit_index(fitted, ["c"], "_i", "skip").transform(later)
+    assert sorted(r.k for r in skip.collect()) == [6, 9]
+    strict = fe.fit_index(fitted.dropna(), ["c"], "_i", "error")
+    assert strict.transform(later.where("c = 'a'")).first().c_i == 0.0
+    for bad in ("c is null", "c = 'new'"):
+        with pytest.raises(Exception, match="no index of c"):
+            strict.transform(later.where(bad)).collect()
+
+
+def test_null_rows_do_not_meet_in_one_partition(spark):
+    fitted = spark.createDataFrame([("a",)], "c string")
+    rows = spark.range(2000).selectExpr("id", "CAST(NULL AS STRING) AS c")
+    was = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for k, v in (("spark.sql.autoBroadcastJoinThreshold", "-1"), ("spark.sql.adaptive.enabled", "false")):
+            spark.conf.set(k, v)
+        out = fe.fit_index(fitted, ["c"]).transform(rows)
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 2000 and max(sizes) < 1000
+
+
+def test_random_split_is_disjoint_and_complete(spark):
+    df = spark.range(1000)
+    train, test = fe.random_split(df)
+    a, b = {r.id for r in train.collect()}, {r.id for r in test.collect()}
+    assert not a & b and len(a | b) == 1000 and 700 < len(a) < 900
