@@ -16,11 +16,8 @@ from hearth.functions.flags import (
 )
 from hearth.functions.parse import ceiling_height, parse_int, price_usd
 
-# Categorical text columns kept for indexing.
-CATEGORY_COLUMNS = ("province", "construction_type", "balcony", "furniture")
-
-# Workflow A's 15 numeric features (the notebook's list, in its order, our
-# names), followed by the four indexed categories.
+# Workflow A's 15 numeric features (the notebook's list, in its
+# order, our names).
 NUMERIC_FEATURES_A = (
     "new_construction", "elevator", "floors_in_building", "floor_area", "high_ceiling",
     "floor", "renovation", "skyscraper", "floors_le_6", "floors_7_to_13", "floors_gt_13",

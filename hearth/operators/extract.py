@@ -6,12 +6,18 @@ extraction is SQL regex and higher-order functions, all JVM-side and
 row-local (no shuffle):
 
 * one text per locator (``regexp_extract``),
-* detail (label, value) pairs from ``<li><a href="label">value</a></li>``,
-  the first 4 "building" and the first 8 "apartment" details concatenated,
+* detail (label, value) pairs from ``<li><a href="label">value</a></li>``:
+  where a page marks a ``building`` and an ``apartment`` list, the first 4 of
+  the one and the first 8 of the other, concatenated; else all of the page's,
 * later labels win over earlier ones (the dict update in the source),
 * ``Floor Area`` keeps only the text before the first space,
 * province = text before the first comma,
+* an absent field is null,
+* listing-level and page-level fields merged, the page's winning,
 * page records and listing records appended by column name.
+
+Each regex runs once per page: its result is a column of its own projection,
+and everything after works on that column.
 """
 
 from __future__ import annotations
@@ -31,6 +37,8 @@ TITLE_RE = r"<title>(.*?)</title>"
 HEADING_RE = r"<h1>(.*?)</h1>"
 AD_RE = r'<div class="ad">(.*?)</div>'
 DETAIL_RE = r'<li><a href="([^"]*)">(.*?)</a></li>'
+BUILDING_RE = r'(?s)<ul class="building">(.*?)</ul>'
+APARTMENT_RE = r'(?s)<ul class="apartment">(.*?)</ul>'
 
 
 def text_before(c: Column | str, sep: str = PROVINCE_SEPARATOR) -> Column:
@@ -39,45 +47,62 @@ def text_before(c: Column | str, sep: str = PROVINCE_SEPARATOR) -> Column:
     return F.substring_index(c, sep, 1)
 
 
+def _field(html: Column, pattern: str) -> Column:
+    """The first group of the first match; null if there is none (or it is empty)."""
+    return F.nullif(F.regexp_extract(html, pattern, 1), F.lit(""))
+
+
 def page_fields(pages: DataFrame) -> DataFrame:
     """(page_id, title, heading, ad_text, province) -- one text per locator."""
     html = F.col("html")
-    return pages.select(
-        "page_id",
-        F.regexp_extract(html, TITLE_RE, 1).alias("title"),
-        F.regexp_extract(html, HEADING_RE, 1).alias("heading"),
-        F.regexp_extract(html, AD_RE, 1).alias("ad_text"),
-        text_before(F.regexp_extract(html, AD_RE, 1)).alias("province"),
-    )
-
-
-def detail_pairs(html: Column) -> Column:
-    """Array<struct<label, value>>: first 4 + next 8 details, later label wins,
-    unit stripped from ``Floor Area``."""
-    labels = F.regexp_extract_all(html, F.lit(DETAIL_RE), 1)
-    values = F.regexp_extract_all(html, F.lit(DETAIL_RE), 2)
-    pairs = F.arrays_zip(labels.alias("label"), values.alias("value"))
-    picked = F.concat(F.slice(pairs, 1, BUILDING_DETAILS),
-                      F.slice(pairs, BUILDING_DETAILS + 1, APARTMENT_DETAILS))
-    cleaned = F.transform(picked, lambda p: F.struct(
+    fields = pages.select("page_id", _field(html, TITLE_RE).alias("title"), _field(html, HEADING_RE).alias("heading"),
+                          _field(html, AD_RE).alias("ad_text"))
+    return fields.withColumn("province", F.nullif(text_before("ad_text"), F.lit("")))
+
+
+def _pairs(df: DataFrame, block: str, out: str, most: int | None = None) -> DataFrame:
+    """Adds ``out``: array<struct<label, value>> of a text column's details."""
+    labels, values = f"_l_{out}", f"_v_{out}"
+    df = df.withColumns({labels: F.regexp_extract_all(F.col(block), F.lit(DETAIL_RE), 1),
+                         values: F.regexp_extract_all(F.col(block), F.lit(DETAIL_RE), 2)})
+    pairs = F.arrays_zip(F.col(labels).alias("label"), F.col(values).alias("value"))
+    pairs = pairs if most is None else F.slice(pairs, 1, most)
+    return df.withColumn(out, F.coalesce(pairs, F.array().cast("array<struct<label:string,value:string>>"))).drop(labels, values)
+
+
+def with_details(pages: DataFrame, out: str = "details") -> DataFrame:
+    """``page_id`` and the page's details, in order, each label once: the later
+    one wins; the unit is stripped from ``Floor Area``."""
+    blocks = pages.select("page_id", "html", _field(F.col("html"), BUILDING_RE).alias("_building"),
+                          _field(F.col("html"), APARTMENT_RE).alias("_apartment"))
+    marked = F.col("_building").isNotNull() | F.col("_apartment").isNotNull()
+    df = blocks.select("page_id", "_building", "_apartment", F.when(~marked, F.col("html")).alias("_page"))
+    df = _pairs(df, "_building", "_b", BUILDING_DETAILS)
+    df = _pairs(df, "_apartment", "_a", APARTMENT_DETAILS)
+    df = _pairs(df, "_page", "_p")
+    # By label and position; a label's last position is followed by another label.
+    placed = F.transform(F.concat("_b", "_a", "_p"), lambda p, i: F.struct(p["label"].alias("label"), i.alias("pos"), p["value"].alias("value")))
+    df = df.select("page_id", F.sort_array(placed).alias("_sorted"))
+    last = F.filter("_sorted", lambda p, i: ~F.get(F.col("_sorted"), i + 1)["label"].eqNullSafe(p["label"]))
+    df = df.select("page_id", F.sort_array(F.transform(last, lambda p: F.struct(p["pos"], p["label"], p["value"]))).alias("_last"))
+    cleaned = F.transform("_last", lambda p: F.struct(
         p["label"].alias("label"),
-        F.when(p["label"] == UNIT_STRIPPED_LABEL, F.substring_index(p["value"], " ", 1))
-         .otherwise(p["value"]).alias("value")))
-    # Keep a pair only if its label does not occur again later (last wins).
-    keys = F.transform(cleaned, lambda p: p["label"])
-    return F.filter(cleaned, lambda p, i: ~F.array_contains(
-        F.slice(keys, i + 2, F.greatest(F.size(keys) - i - 1, F.lit(0))), p["label"]))
+        F.when(p["label"] == UNIT_STRIPPED_LABEL, F.substring_index(p["value"], " ", 1)).otherwise(p["value"]).alias("value")))
+    return df.select("page_id", cleaned.alias(out))
 
 
 def page_details_long(pages: DataFrame) -> DataFrame:
-    """(page_id, label, value) rows, one per surviving detail."""
-    return (pages.select("page_id", F.explode(detail_pairs(F.col("html"))).alias("d"))
-                 .select("page_id", F.col("d.label").alias("label"), F.col("d.value").alias("value")))
+    """(page_id, label, value) rows, one per surviving detail.
+
+    The outer generator keeps the optimizer from inferring a filter on the
+    array's size and evaluating the whole extraction a second time for it.
+    """
+    return with_details(pages).select("page_id", F.inline_outer("details")).where(F.col("label").isNotNull())
 
 
 def page_details_map(pages: DataFrame) -> DataFrame:
-    """(page_id, details map<label, value>); keys are unique after last-wins."""
-    return pages.select("page_id", F.map_from_entries(detail_pairs(F.col("html"))).alias("details"))
+    """(page_id, details map<label, value>) with every label of the page."""
+    return with_details(pages).select("page_id", F.map_from_entries("details").alias("details"))
 
 
 def page_details_wide(pages: DataFrame, labels: list[str], names: list[str] | None = None) -> DataFrame:
@@ -87,6 +112,21 @@ def page_details_wide(pages: DataFrame, labels: list[str], names: list[str] | No
     return m.select("page_id", *[F.col("details")[lab].alias(n) for lab, n in zip(labels, names)])
 
 
+def merged(left: Column, right: Column) -> Column:
+    """Two maps as one; where both have a key, the right one's value wins (null too)."""
+    return F.map_zip_with(left, right, lambda k, a, b: F.when(F.map_contains_key(right, k), b).otherwise(a))
+
+
+def merged_page_fields(pages: DataFrame) -> DataFrame:
+    """(page_id, fields): the listing-level fields of a page (those that it has),
+    overlaid with its details."""
+    own = page_fields(pages).select("page_id", F.map_filter(
+        F.create_map(*[x for c in ("title", "heading", "ad_text") for x in (F.lit(c), F.col(c))]),
+        lambda _, v: v.isNotNull()).alias("_own"))
+    rows = own.join(page_details_map(pages), "page_id")
+    return rows.select("page_id", merged(F.col("_own"), F.col("details")).alias("fields"))
+
+
 def page_records(pages: DataFrame) -> DataFrame:
     """Listing-shaped records from pages: (page_id, province, address)."""
     f = page_fields(pages)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hearth.functions.parse import unparseable
 from hearth.operators.quantiles import approx_quantiles, cached_values, exact_quantiles
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
@@ -21,7 +22,7 @@ _FLOATING = (T.FloatType, T.DoubleType)
 def missing_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row: per column, the number of nulls (one pass)."""
     cols = columns or df.columns
-    return df.select([F.sum(F.col(c).isNull().cast("int")).cast("bigint").alias(c) for c in cols])
+    return df.agg(*[F.count_if(F.isnull(c)).alias(c) for c in cols])
 
 
 def missing_counts_long(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -46,12 +47,11 @@ def missing_profile(df: DataFrame, parsed: dict | None = None) -> DataFrame:
         nan = (F.sum(F.isnan(col).cast("int")) if isinstance(types[c], _FLOATING)
                else F.lit(0))
         if c in parsed:
-            bad = col.isNotNull() & (F.trim(col.cast("string")) != "") & parsed[c].isNull()
-            unp = F.sum(bad.cast("int"))
+            unp = F.count_if(unparseable(col.cast("string"), parsed[c]))
         else:
             unp = F.lit(0)
         aggs.append(F.struct(F.lit(c).alias("column"),
-                             F.sum(col.isNull().cast("int")).cast("bigint").alias("null_count"),
+                             F.count_if(F.isnull(col)).alias("null_count"),
                              F.coalesce(nan.cast("bigint"), F.lit(0).cast("bigint")).alias("nan_count"),
                              F.coalesce(unp.cast("bigint"), F.lit(0).cast("bigint")).alias("unparseable_count")))
         names.append(c)
@@ -143,20 +143,21 @@ def histogram(df: DataFrame, col: str, bins: int = 50, digits: int = 6) -> DataF
     last one closed on the right.  The range is one aggregate (two numbers
     to the driver), the counts one group-by with at most ``bins`` groups.
     """
-    x = F.col(col).cast("double")
-    st = df.agg(F.min(x).alias("mn"), F.max(x).alias("mx")).first()
     spark = df.sparkSession
     axis = spark.range(1, bins + 1).select(F.col("id").cast("int").alias("bin"))
-    if st["mn"] is None:
-        return axis.select("bin", F.lit(None).cast("double").alias("bin_lower"),
-                           F.lit(None).cast("double").alias("bin_upper"),
-                           F.lit(0).cast("bigint").alias("n"))
-    mn, mx = float(st["mn"]), float(st["mx"])
-    if mx == mn:
-        mn, mx = mn - 0.5, mx + 0.5
-    b = (F.least(F.floor((x - F.lit(mn)) / F.lit(mx - mn) * F.lit(bins)), F.lit(bins - 1)) + 1).cast("int")
-    # Null values fall in a null bin that the join with the axis drops.
-    counts = df.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    with cached_values(df, col) as x:
+        st = x.agg(F.min("x").alias("mn"), F.max("x").alias("mx")).first()
+        if st["mn"] is None:
+            return axis.select("bin", F.lit(None).cast("double").alias("bin_lower"),
+                               F.lit(None).cast("double").alias("bin_upper"),
+                               F.lit(0).cast("bigint").alias("n"))
+        mn, mx = float(st["mn"]), float(st["mx"])
+        if mx == mn:
+            mn, mx = mn - 0.5, mx + 0.5
+        b = (F.least(F.floor((F.col("x") - F.lit(mn)) / F.lit(mx - mn) * F.lit(bins)), F.lit(bins - 1)) + 1).cast("int")
+        # Null values fall in a null bin that the join with the axis drops.
+        rows = x.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()  # <= bins + 1 rows
+    counts = spark.createDataFrame(rows, "bin int, n bigint")
     width = (mx - mn) / bins
     return (axis.join(counts, "bin", "left")
                 .select("bin",
@@ -213,18 +214,29 @@ def binned_pairs(df: DataFrame, x: str, y: str, bins: int = 20) -> DataFrame:
     """2-D equal-width bins of (x, y) with counts: the data behind an
     actual-vs-predicted scatter, bounded by ``bins * bins`` rows however
     many points there are.  Rows with a null in either column are dropped."""
-    xv, yv = F.col(x).cast("double"), F.col(y).cast("double")
-    st = df.agg(F.min(xv).alias("x0"), F.max(xv).alias("x1"),
-                F.min(yv).alias("y0"), F.max(yv).alias("y1")).first()
-    if st["x0"] is None or st["y0"] is None:
-        return df.sparkSession.createDataFrame([], "x_bin int, y_bin int, n bigint")
-
-    def bin_of(v, lo, hi):
-        lo, hi = float(lo), float(hi)
-        if hi == lo:
-            lo, hi = lo - 0.5, hi + 0.5
-        return (F.least(F.floor((v - F.lit(lo)) / F.lit(hi - lo) * F.lit(bins)), F.lit(bins - 1)) + 1).cast("int")
-
-    b = df.select(bin_of(xv, st["x0"], st["x1"]).alias("x_bin"), bin_of(yv, st["y0"], st["y1"]).alias("y_bin"))
-    return (b.groupBy("x_bin", "y_bin").agg(F.count(F.lit(1)).alias("n"))
-             .where(F.col("x_bin").isNotNull() & F.col("y_bin").isNotNull()))
+    spark, schema = df.sparkSession, "x_bin int, y_bin int, n bigint"
+    pairs = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).persist()
+    try:
+        st = pairs.agg(F.min("x").alias("x0"), F.max("x").alias("x1"),
+                       F.min("y").alias("y0"), F.max("y").alias("y1")).first()
+        if st["x0"] is None or st["y0"] is None:
+            return spark.createDataFrame([], schema)
+
+        def bin_of(c, lo, hi):
+            lo, hi = float(lo), float(hi)
+            if hi == lo:
+                lo, hi = lo - 0.5, hi + 0.5
+            return (F.least(F.floor((F.col(c) - F.lit(lo)) / F.lit(hi - lo) * F.lit(bins)), F.lit(bins - 1)) + 1).cast("int")
+
+        b = pairs.select(bin_of("x", st["x0"], st["x1"]).alias("x_bin"), bin_of("y", st["y0"], st["y1"]).alias("y_bin"))
+        rows = b.groupBy("x_bin", "y_bin").agg(F.count(F.lit(1)).alias("n")).collect()  # <= (bins + 1) ** 2 rows
+    finally:
+        pairs.unpersist()
+    return spark.createDataFrame([r for r in rows if r["x_bin"] is not None and r["y_bin"] is not None], schema)
+
+
+def text_summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(column, count, min, max) of text columns, as ``describe`` gives them (one pass)."""
+    cols = columns or [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    cells = [F.struct(F.lit(c).alias("column"), F.count(c).alias("count"), F.min(c).alias("min"), F.max(c).alias("max")) for c in cols]
+    return df.agg(F.array(*cells).alias("a")).select(F.inline("a"))

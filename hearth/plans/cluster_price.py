@@ -8,24 +8,25 @@ leakage), indexers raise on null, the ceiling height loses its decimal
 point, ``randomSplit`` with seed 1, and the regression is evaluated on a
 second split of the clustered *training* rows.
 
-Scale notes: ``address`` is indexed with the distributed frequency index
-(one label per listing would otherwise sit on the driver); the assembled
-frame is persisted before the sweep, and each k is fitted once.
+Scale notes: all categories share one distributed index fit (one address per
+listing would otherwise sit on the driver); the typed rows are written once,
+the assembled frame is persisted once, and each k is fitted once.
 """
 
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearth.functions.flags import ELEVATOR_YES, NEW_CONSTRUCTION_YES, equals_flag
 from hearth.functions.parse import ceiling_height, parse_int, price_usd
 from hearth.operators import features, models, outliers, profile
+from hearth.session import stage
 
-INDEXED_B = ("construction_type", "balcony", "furniture", "renovation")
-# The notebook's 15 clustering/regression inputs (our names); price first.
+CATEGORIES_B = ("province", "address", "construction_type", "balcony", "furniture", "renovation")
+TRAIN_PCT = 80
+# The notebook's 15 clustering/regression inputs (our names); price first.
 FEATURES_B = ("price", "new_construction", "elevator", "floors_in_building", "floor_area",
               "ceiling_height", "floor", "province_index", "address_index",
               "construction_type_index", "balcony_index", "furniture_index",
@@ -36,24 +37,14 @@ class LabelLeakError(ValueError):
     pass
 
 
-def prepare(raw: DataFrame, as_written: bool = False,
-            quartile_error: float | None = outliers.QUARTILE_ERROR,
-            cached: list | None = None) -> DataFrame:
-    """Dedup -> indices -> typed columns -> IQR cut -> double features, zero-filled.
-
-    The deduplicated rows are persisted once; the low-cardinality indices
-    come from one multi-column ``StringIndexer`` pass over them (the
-    notebook's separate fits give the same indices, since those columns are
-    not modified in between), and the address index -- chosen by measured
-    cardinality -- from the distributed frequency index.
-    """
+def typed_rows(raw: DataFrame, as_written: bool = False) -> DataFrame:
+    """Deduplicated rows with typed columns, their categories as text, and the
+    hash bucket of the whole raw row (the split), written once."""
     mode = "as_written" if as_written else "intended"
-    invalid = "error" if as_written else "keep"
-    base = profile.dedup_rows(raw).persist(StorageLevel.MEMORY_AND_DISK)
-    # province, address and the four categories: the small ones in one
-    # StringIndexer pass, address (about one label per listing) distributed.
-    df = features.index_columns(base, ["province", "address", *INDEXED_B], "_index", invalid)
-    df = df.withColumns({
+    base = profile.dedup_rows(raw)
+    whole = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in base.columns]))
+    df = base.withColumns({
+        "bucket": features.hash_bucket(whole),
         "price": price_usd("price", mode),
         "new_construction": equals_flag("new_construction", NEW_CONSTRUCTION_YES),
         "elevator": equals_flag("elevator", ELEVATOR_YES),
@@ -61,13 +52,25 @@ def prepare(raw: DataFrame, as_written: bool = False,
         "rooms_int": parse_int("rooms"),
         "bathrooms_int": parse_int("bathrooms"),
     })
-    df = df.select(*[F.col(c).cast("double").alias(c) for c in FEATURES_B])
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    df.count()
-    base.unpersist()
-    if cached is not None:
-        cached.append(df)
-    df = outliers.remove_outliers(df, "price", quartile_error)
+    keep = [c for c in FEATURES_B if not c.endswith("_index")] + [*CATEGORIES_B, "bucket"]
+    return stage(df.select(*keep), "cluster-rows")
+
+
+def prepare(raw: DataFrame, as_written: bool = False,
+            quartile_error: float | None = outliers.QUARTILE_ERROR) -> DataFrame:
+    """Typed rows -> IQR cut -> indices -> double features, zero-filled, and the split bucket.
+
+    The indices are fitted on the training rows only (as written: on all rows,
+    and a null raises); categories that training has not seen share the
+    index past the last one.
+    """
+    base = typed_rows(raw, as_written)
+    kept = outliers.remove_outliers(base, "price", quartile_error)
+    if as_written:
+        model = features.fit_index(base, CATEGORIES_B, "_index", "error")
+    else:
+        model = features.fit_index(kept.where(F.col("bucket") < TRAIN_PCT), CATEGORIES_B, "_index", "keep")
+    df = model.transform(kept).select(*[F.col(c).cast("double").alias(c) for c in FEATURES_B], "bucket")
     return df.na.fill(0, subset=list(FEATURES_B))
 
 
@@ -101,27 +104,23 @@ def run(raw: DataFrame, as_written: bool = False, sweep: bool = True,
 
 def _run(spark, raw, as_written, sweep, k_values, final_k, quartile_error, cols, cached) -> DataFrame:
     label = "price"
-    data = prepare(raw, as_written, quartile_error, cached)
+    data = prepare(raw, as_written, quartile_error)
     rows: list[tuple] = []
 
-    assembled = features.assembler(cols, "features", "error").transform(data)
-    assembled = assembled.persist(StorageLevel.MEMORY_AND_DISK)
-    cached.append(assembled)
+    # The one frame that is kept: sweep, splits and fits all read it.
+    data = features.assembler(cols, "feature", "error").transform(data).persist(StorageLevel.MEMORY_AND_DISK)
+    cached.append(data)
     if sweep:
-        for r in models.kmeans_sweep(assembled, "features", k_values).collect():
+        for r in models.kmeans_sweep(data, "feature", k_values).collect():
             rows.append(("sweep", "all", r["k"], "wssse", r["wssse"]))
             rows.append(("sweep", "all", r["k"], "silhouette", r["silhouette"]))
 
     if as_written:
         train, test = data.randomSplit([0.8, 0.2], seed=1)
     else:
-        key = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in data.columns]))
-        train, test = features.hash_split(data, key, 80)
-    km = Pipeline(stages=[features.assembler(cols, "feature", "error"),
-                          models.kmeans(final_k, "feature", "cluster")]).fit(train)
-    c_train = km.transform(train).persist(StorageLevel.MEMORY_AND_DISK)
-    cached.append(c_train)
-    c_test = km.transform(test)
+        train, test = data.where(F.col("bucket") < TRAIN_PCT), data.where(F.col("bucket") >= TRAIN_PCT)
+    km = models.kmeans(final_k, "feature", "cluster").fit(train)
+    c_train, c_test = km.transform(train), km.transform(test)
     rows.append(("clusters", "train", final_k, "silhouette", models.silhouette(c_train, "feature")))
     rows.append(("clusters", "test", final_k, "silhouette", models.silhouette(c_test, "feature")))
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from hearth.functions.flags import listing_flags, floor_bands
 from hearth.functions.parse import price_usd
 from hearth.operators import clean, outliers, profile
+from hearth.session import stage
 from hearth.plans.oracle_sql import (
     price_as_written_sql, price_intended_sql, typed_listings_sql,
 )
@@ -35,8 +36,11 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-def _priced(spark: SparkSession, sf_dir: str, mode: str = "intended") -> DataFrame:
-    return listings(spark, sf_dir).select("province", price_usd("price", mode).alias("price"))
+def _priced(spark: SparkSession, sf_dir: str, mode: str = "intended", *keys: str) -> DataFrame:
+    """(keys, price), written once: the join and the parse run once for the
+    quartiles and the result, and the cut is pushed into the scan of this stage."""
+    rows = listings(spark, sf_dir).select(*(keys or ("province",)), price_usd("price", mode).alias("price"))
+    return stage(rows, "priced")
 
 
 # --------------------------------------------------------------------------
@@ -256,9 +260,9 @@ def complete_rows(spark, sf_dir):
     f"SELECT address, province, ROUND(p, 4) AS price_usd FROM "
     f"(SELECT address, province, {price_intended_sql()} AS p FROM listings) WHERE p >= 10000"))
 def min_price_filter(spark, sf_dir, min_price: float = 10000.0):
-    df = listings(spark, sf_dir).select("address", "province", price_usd("price").alias("p"))
-    return df.where(F.col("p") >= min_price).select(
-        "address", "province", F.round("p", 4).alias("price_usd"))
+    df = _priced(spark, sf_dir, "intended", "address", "province")
+    return df.where(F.col("price") >= min_price).select(
+        "address", "province", F.round("price", 4).alias("price_usd"))
 
 
 @register("drop_address", with_listings("SELECT * EXCLUDE (address) FROM listings"))
@@ -374,8 +378,8 @@ def iqr_bounds(spark, sf_dir):
 _ADDR_PRICED_CTE = f"p AS (SELECT address, province, {price_intended_sql()} AS price FROM listings)"
 
 
-def _addr_priced(spark, sf_dir):
-    return listings(spark, sf_dir).select("address", "province", price_usd("price").alias("price"))
+def _addr_priced(spark, sf_dir, mode: str = "intended"):
+    return _priced(spark, sf_dir, mode, "address", "province")
 
 
 @register("iqr_outliers", with_listings(
@@ -412,12 +416,45 @@ def iqr_kept_approx(spark, sf_dir):
     return kept
 
 
+# The price as the notebook's code parses it has outliers on both kinds of sign,
+# so here the cut removes rows.
+_WRITTEN_CTE = f"p AS (SELECT address, province, {price_as_written_sql()} AS price FROM listings)"
+
+
+@register("iqr_outliers_as_written", with_listings(
+    "SELECT address, province, ROUND(price, 4) AS price FROM p, f WHERE p.price < f.lo OR p.price > f.hi",
+    _WRITTEN_CTE + ", " + _BOUNDS_CTE))
+def iqr_outliers_as_written(spark, sf_dir):
+    _, out, _ = outliers.split_outliers(_addr_priced(spark, sf_dir, "as_written"), "price", relative_error=None)
+    return out.withColumn("price", F.round("price", 4))
+
+
+@register("iqr_kept_as_written", with_listings(
+    "SELECT address, province, ROUND(price, 4) AS price FROM p, f WHERE p.price >= f.lo AND p.price <= f.hi",
+    _WRITTEN_CTE + ", " + _BOUNDS_CTE))
+def iqr_kept_as_written(spark, sf_dir):
+    kept, _, _ = outliers.split_outliers(_addr_priced(spark, sf_dir, "as_written"), "price", relative_error=None)
+    return kept.withColumn("price", F.round("price", 4))
+
+
+@register("province_price_summary_as_written", with_listings(
+    """SELECT province, COUNT(*) AS n_listings, ROUND(AVG(price), 4) AS mean_price,
+              ROUND(MIN(price), 4) AS min_price, ROUND(MAX(price), 4) AS max_price
+       FROM p, f WHERE p.price >= f.lo AND p.price <= f.hi GROUP BY province""",
+    _WRITTEN_CTE + ", " + _BOUNDS_CTE))
+def province_price_summary_as_written(spark, sf_dir):
+    kept, _, _ = outliers.split_outliers(_priced(spark, sf_dir, "as_written"), "price", relative_error=None)
+    return kept.groupBy("province").agg(
+        F.count(F.lit(1)).alias("n_listings"), F.round(F.avg("price"), 4).alias("mean_price"),
+        F.round(F.min("price"), 4).alias("min_price"), F.round(F.max("price"), 4).alias("max_price"))
+
+
 # --------------------------------------------------------------------------
 # Listing extraction from pages (X1-X10)
 # --------------------------------------------------------------------------
 
 _DETAIL_RE_SQL = "'<li><a href=\"([^\"]*)\">(.*?)</a></li>'"
-_AD_SQL = "regexp_extract(html, '<div class=\"ad\">(.*?)</div>', 1)"
+_AD_SQL = "nullif(regexp_extract(html, '<div class=\"ad\">(.*?)</div>', 1), '')"
 # Declared wide columns: detail labels that become columns (absent -> null).
 WIDE_LABELS = ["/de", "/the", "/in", "/was", "/is", "/The"]
 WIDE_NAMES = ["detail_de", "detail_the", "detail_in", "detail_was", "detail_is", "detail_The_cap"]
@@ -430,15 +467,15 @@ _DETAILS_CTE = f"""
           FROM pages),
   d AS (SELECT page_id, label,
                CASE WHEN label = 'Floor Area' THEN split_part(value, ' ', 1) ELSE value END AS value
-        FROM raw WHERE pos <= 12
+        FROM raw
         QUALIFY row_number() OVER (PARTITION BY page_id, label ORDER BY pos DESC) = 1)
 """
 
 
 @register("page_fields", f"""
-    SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS title,
-           regexp_extract(html, '<h1>(.*?)</h1>', 1) AS heading,
-           {_AD_SQL} AS ad_text, split_part({_AD_SQL}, ',', 1) AS province
+    SELECT page_id, nullif(regexp_extract(html, '<title>(.*?)</title>', 1), '') AS title,
+           nullif(regexp_extract(html, '<h1>(.*?)</h1>', 1), '') AS heading,
+           {_AD_SQL} AS ad_text, nullif(split_part({_AD_SQL}, ',', 1), '') AS province
     FROM pages""")
 def page_fields(spark, sf_dir):
     from hearth.operators import extract
@@ -461,9 +498,37 @@ def page_details_wide(spark, sf_dir):
                                      WIDE_LABELS, WIDE_NAMES)
 
 
+@register("page_details_all", f"""WITH {_DETAILS_CTE}
+    SELECT page_id, COUNT(*) AS n_labels, string_agg(label || '=' || value, ';' ORDER BY label) AS details
+    FROM d GROUP BY page_id""")
+def page_details_all(spark, sf_dir):
+    """Every label of a page, as one map (printed in label order)."""
+    from hearth.operators import extract
+    m = extract.page_details_map(read_table(spark, sf_dir, "pages", ["page_id", "html"]))
+    pairs = F.sort_array(F.map_entries("details"))
+    return m.where(F.size("details") > 0).select(
+        "page_id", F.size("details").cast("long").alias("n_labels"),
+        F.array_join(F.transform(pairs, lambda p: F.concat(p["key"], F.lit("="), p["value"])), ";").alias("details"))
+
+
+@register("page_fields_merged", f"""WITH {_DETAILS_CTE},
+    own AS (SELECT page_id, 'title' AS label, nullif(regexp_extract(html, '<title>(.*?)</title>', 1), '') AS value FROM pages
+            UNION ALL SELECT page_id, 'heading', nullif(regexp_extract(html, '<h1>(.*?)</h1>', 1), '') FROM pages
+            UNION ALL SELECT page_id, 'ad_text', {_AD_SQL} FROM pages)
+    SELECT page_id, label, value FROM d
+    UNION ALL
+    SELECT page_id, label, value FROM own WHERE value IS NOT NULL
+      AND NOT EXISTS (SELECT 1 FROM d WHERE d.page_id = own.page_id AND d.label = own.label)""")
+def page_fields_merged(spark, sf_dir):
+    """Listing-level fields overlaid with page-level ones (the right side wins)."""
+    from hearth.operators import extract
+    m = extract.merged_page_fields(read_table(spark, sf_dir, "pages", ["page_id", "html"]))
+    return m.select("page_id", F.explode_outer("fields").alias("label", "value")).where(F.col("label").isNotNull())
+
+
 @register("union_sources", with_listings(f"""
-    SELECT page_id, split_part({_AD_SQL}, ',', 1) AS province,
-           regexp_extract(html, '<h1>(.*?)</h1>', 1) AS address FROM pages
+    SELECT page_id, nullif(split_part({_AD_SQL}, ',', 1), '') AS province,
+           nullif(regexp_extract(html, '<h1>(.*?)</h1>', 1), '') AS address FROM pages
     UNION ALL BY NAME
     SELECT * FROM listings"""))
 def union_sources(spark, sf_dir):
@@ -698,6 +763,181 @@ def kmeans_assign_given_centres(spark, sf_dir):
 _SWEEP_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
+# One feature, a label of about unit spread, five hash folds: the tuned model has a
+# closed form (soft threshold on the standardised scale).
+_TUNED_GRID = (0.01, 0.1, 1.0)
+_FOLD_SQL = ("CAST(('0x' || substr(md5('fold:' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR)), 1, 8)) AS BIGINT) % 5")
+
+
+def _shrunk_sql(group: str) -> str:
+    """Slope and intercept of the elastic net (half L1, half L2) from moments."""
+    return f"""SELECT {group}, ax, ay, sx, sy,
+             greatest(abs(r) - 0.5 * reg / sy, 0) * sign(r) / (1 + 0.5 * reg / sy) * sy / sx AS slope"""
+
+
+def _line_prices(spark, sf_dir):
+    li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"])
+    key = F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"))
+    return li.select(key.alias("key"), F.col("l_quantity").cast("double").alias("l_quantity"),
+                     (F.col("l_extendedprice") / 10000 + F.col("l_quantity") / 10).cast("double").alias("price"))
+
+
+@register("elastic_net_cv", f"""
+    WITH s AS (SELECT {_FOLD_SQL} AS fold, CAST(l_quantity AS DOUBLE) AS x, l_extendedprice / 10000.0 + l_quantity / 10.0 AS y FROM lineitem),
+         g AS (SELECT unnest({list(_TUNED_GRID)}) AS reg), k AS (SELECT unnest(range(5)) AS held),
+         m AS (SELECT held, reg, AVG(x) AS ax, AVG(y) AS ay, STDDEV_POP(x) AS sx, STDDEV_POP(y) AS sy, CORR(x, y) AS r
+               FROM s, g, k WHERE fold <> held GROUP BY held, reg),
+         c AS ({_shrunk_sql("held, reg")} FROM m),
+         e AS (SELECT held, reg, SQRT(AVG((y - ay - slope * (x - ax)) * (y - ay - slope * (x - ax)))) AS rmse
+               FROM s JOIN c ON s.fold = c.held GROUP BY held, reg),
+         a AS (SELECT reg, AVG(rmse) AS mean_rmse FROM e GROUP BY reg),
+         f AS (SELECT reg, ax, ay, slope FROM ({_shrunk_sql("reg")}
+               FROM (SELECT reg, AVG(x) AS ax, AVG(y) AS ay, STDDEV_POP(x) AS sx, STDDEV_POP(y) AS sy, CORR(x, y) AS r
+                     FROM s, g GROUP BY reg)))
+    SELECT CAST(a.reg AS DOUBLE) AS reg_param, ROUND(mean_rmse, 4) AS mean_rmse, mean_rmse = MIN(mean_rmse) OVER () AS chosen,
+           CASE WHEN mean_rmse = MIN(mean_rmse) OVER () THEN ROUND(slope, 4) END AS slope,
+           CASE WHEN mean_rmse = MIN(mean_rmse) OVER () THEN ROUND(ay - slope * ax, 4) END AS intercept
+    FROM a JOIN f ON a.reg = f.reg""")
+def elastic_net_cv(spark, sf_dir):
+    """Elastic net tuned over regParam by 5-fold cross-validation on hash folds:
+    mean RMSE per grid point, and the refitted best model."""
+    from hearth.operators import features as fe
+    from hearth.operators import models as mo
+    rows = fe.assembler(["l_quantity"], "features", "error").transform(fe.hash_folds(_line_prices(spark, sf_dir), "key", 5))
+    rows = rows.select("features", "price", "fold").persist()
+    try:
+        net = mo.linear_regression("features", "price", elastic_net=mo.ELASTIC_NET_AS_WRITTEN)
+        cv = mo.cross_validated(net, "price", _TUNED_GRID, 5, fold_col="fold").fit(rows)
+    finally:
+        rows.unpersist()
+    best = min(range(len(_TUNED_GRID)), key=lambda k: cv.avgMetrics[k])
+    table = [(reg, float(cv.avgMetrics[k]), k == best, float(cv.bestModel.coefficients[0]) if k == best else None,
+              float(cv.bestModel.intercept) if k == best else None) for k, reg in enumerate(_TUNED_GRID)]
+    return spark.createDataFrame(table, "reg_param double, mean_rmse double, chosen boolean, slope double, intercept double").select(
+        "reg_param", F.round("mean_rmse", 4).alias("mean_rmse"), "chosen", F.round("slope", 4).alias("slope"), F.round("intercept", 4).alias("intercept"))
+
+
+# Line items of the three return flags, set 1000 apart: the best clusters are the flags.
+_APART_SQL = """s AS (SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice,
+                         CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1000 ELSE 2000 END + l_quantity AS x,
+                         CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS g FROM lineitem)"""
+
+
+def _apart(spark, sf_dir):
+    from hearth.operators import features as fe
+    li = read_table(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag"])
+    step = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1000).otherwise(2000)
+    return fe.assembler(["x"], "features", "error").transform(li.withColumn("x", (step + F.col("l_quantity")).cast("double")))
+
+
+def _silhouette_sql(rows: str, by: str) -> str:
+    """Mean silhouette (squared distances) of the clusters g, per ``by``, from their sums."""
+    return f"""SELECT {by}, AVG(CASE WHEN n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END) AS silhouette FROM (
+        SELECT r.{by}, c.n, c.n * (r.x * r.x - 2 * r.x * c.m + c.q) / greatest(c.n - 1, 1) AS a,
+               (SELECT MIN(r.x * r.x - 2 * r.x * o.m + o.q) FROM z o WHERE o.{by} = r.{by} AND o.g <> r.g) AS b
+        FROM {rows} r JOIN z c ON c.{by} = r.{by} AND c.g = r.g) GROUP BY {by}"""
+
+
+@register("kmeans_separated", f"""
+    WITH {_APART_SQL},
+         c AS (SELECT g, AVG(x) AS centre, COUNT(*) AS n, SUM(x * x) - SUM(x) * SUM(x) / COUNT(*) AS cost FROM s GROUP BY g),
+         z AS (SELECT 1 AS one, g, COUNT(*) AS n, AVG(x) AS m, AVG(x * x) AS q FROM s GROUP BY g),
+         t AS (SELECT *, 1 AS one FROM s)
+    SELECT CAST(g AS INTEGER) AS cluster, ROUND(centre, 4) AS centre, n,
+           ROUND((SELECT SUM(cost) FROM c), 1) AS wssse, ROUND((SELECT silhouette FROM ({_silhouette_sql('t', 'one')})), 6) AS silhouette
+    FROM c""")
+def kmeans_separated(spark, sf_dir):
+    """k chosen by silhouette over a sweep, then the fit: centres, sizes, cost."""
+    from hearth.operators import models as mo
+    rows = _apart(spark, sf_dir).select("features").persist()
+    try:
+        sweep = mo.kmeans_sweep(rows, "features", (2, 3, 4)).collect()
+        best = max(sweep, key=lambda r: r["silhouette"])
+        model = mo.kmeans(best["k"], "features", "cluster").fit(rows)
+        centres = [float(c[0]) for c in model.clusterCenters()]
+        sizes = model.summary.clusterSizes
+    finally:
+        rows.unpersist()
+    order = sorted(range(len(centres)), key=lambda k: centres[k])
+    table = [(rank, centres[k], int(sizes[k]), best["wssse"], best["silhouette"]) for rank, k in enumerate(order)]
+    return spark.createDataFrame(table, "cluster int, centre double, n bigint, wssse double, silhouette double").select(
+        "cluster", F.round("centre", 4).alias("centre"), "n", F.round("wssse", 1).alias("wssse"), F.round("silhouette", 6).alias("silhouette"))
+
+
+@register("silhouette_split", f"""
+    WITH {_APART_SQL},
+         t AS (SELECT *, CASE WHEN {_LI_KEY_SQL} < 80 THEN 'train' ELSE 'test' END AS split FROM s),
+         z AS (SELECT split, g, COUNT(*) AS n, AVG(x) AS m, AVG(x * x) AS q FROM t GROUP BY split, g)
+    SELECT split, ROUND(silhouette, 6) AS silhouette FROM ({_silhouette_sql('t', 'split')})""")
+def silhouette_split(spark, sf_dir):
+    """Clusters fitted on the training part; silhouette of either part."""
+    from hearth.operators import features as fe
+    from hearth.operators import models as mo
+    rows = _apart(spark, sf_dir)
+    key = F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"))
+    parts = dict(zip(("train", "test"), fe.hash_split(rows, key, 80)))
+    model = mo.kmeans(3, "features", "cluster").fit(parts["train"])
+    table = [(name, mo.silhouette(model.transform(part))) for name, part in parts.items()]
+    return spark.createDataFrame(table, "split string, silhouette double").select("split", F.round("silhouette", 6).alias("silhouette"))
+
+
+@register("cluster_feature_regression", f"""
+    WITH {_APART_SQL},
+         m AS (SELECT COUNT(*) AS n, VAR_POP(l_quantity) AS aa, VAR_POP(g) AS bb, COVAR_POP(l_quantity, g) AS ab,
+                      COVAR_POP(l_quantity, l_extendedprice) AS ay, COVAR_POP(g, l_extendedprice) AS by_,
+                      AVG(l_quantity) AS ma, AVG(g) AS mb, AVG(l_extendedprice) AS my, VAR_POP(l_extendedprice) AS yy FROM s),
+         c AS (SELECT *, (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS ca, (by_ * aa - ay * ab) / (aa * bb - ab * ab) AS cb FROM m),
+         e AS (SELECT AVG(ABS(d)) AS mae, AVG(d * d) AS mse FROM
+               (SELECT l_extendedprice - my - ca * (l_quantity - ma) - cb * (g - mb) AS d FROM s, c)),
+         r AS (SELECT *, 1 - mse / yy AS r2 FROM c, e)
+    SELECT u.metric, ROUND(u.value, 4) AS value FROM r, LATERAL (VALUES
+      ('intercept', my - ca * ma - cb * mb), ('coef:l_quantity', ca), ('coef:cluster', cb), ('r2', r2),
+      ('r2adj', 1 - (1 - r2) * (n - 1) / (n - 3)), ('rmse', SQRT(mse)), ('mse', mse), ('mae', mae)) u(metric, value)""")
+def cluster_feature_regression(spark, sf_dir):
+    """The fitted cluster (numbered by its centre) as a feature of a regression,
+    and the regression's training summary."""
+    from hearth.operators import features as fe
+    from hearth.operators import models as mo
+    rows = _apart(spark, sf_dir)
+    model = mo.kmeans(3, "features", "raw_cluster").fit(rows)
+    centres = [float(c[0]) for c in model.clusterCenters()]
+    rank = F.array(*[F.lit(float(sorted(centres).index(c))) for c in centres])
+    rows = model.transform(rows).withColumn("cluster", F.get(rank, F.col("raw_cluster")))
+    names = ["l_quantity", "cluster"]
+    rows = fe.assembler(names, "both", "error").transform(rows).select("both", "l_extendedprice")
+    fit = mo.linear_regression("both", "l_extendedprice", solver="normal").fit(rows)
+    return mo.training_summary(spark, fit, names).select("metric", F.round("value", 4).alias("value"))
+
+
+@register("text_summary", with_listings(" UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", COUNT({c}) AS count, MIN({c}) AS min, MAX({c}) AS max FROM listings"
+    for c in ("province", "construction_type", "address"))))
+def text_summary(spark, sf_dir):
+    return profile.text_summary(listings(spark, sf_dir), ["province", "construction_type", "address"])
+
+
+@register("index_fit_apply", with_listings("""
+    SELECT l.address, COALESCE(r.idx, (SELECT COUNT(*) FROM r)) AS address_index FROM listings l LEFT JOIN r ON l.address = r.address
+    WHERE CAST(('0x' || substr(md5(coalesce(l.address, '')), 1, 8)) AS BIGINT) % 100 >= 50 OR l.address LIKE '%1%'""",
+    """r AS (SELECT address, CAST(row_number() OVER (ORDER BY COUNT(*) DESC, address) - 1 AS DOUBLE) AS idx FROM listings
+            WHERE CAST(('0x' || substr(md5(coalesce(address, '')), 1, 8)) AS BIGINT) % 100 < 50 GROUP BY address)"""))
+def index_fit_apply(spark, sf_dir):
+    """The index fitted on one batch of listings and applied to another (unseen addresses among them)."""
+    from hearth.operators.features import fit_index, hash_bucket
+    df = listings(spark, sf_dir).select("address")
+    half = hash_bucket(F.coalesce(F.col("address"), F.lit("")))
+    model = fit_index(df.where(half < 50), ["address"])
+    return model.transform(df.where((half >= 50) | F.col("address").like("%1%")))
+
+
+@register("random_split_whole", with_listings("SELECT COUNT(*) AS n, COUNT(DISTINCT address) AS n_addresses FROM listings"))
+def random_split_whole(spark, sf_dir):
+    """Both parts of a random split together are the table."""
+    from hearth.operators.features import random_split
+    train, test = random_split(listings(spark, sf_dir), (0.8, 0.2), 1234)
+    return train.unionByName(test).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("address").alias("n_addresses"))
+
+
 @register("kmeans_sweep")
 def kmeans_sweep(spark, sf_dir):
     """(k, wssse, silhouette) for k = 2..10 over line-item measures (rows-only)."""
@@ -747,7 +987,7 @@ def streaming_province_price(spark, sf_dir):
     from hearth.streaming import listing_stream as ls
     src = scratch_path(spark, "listing-drops")
     write_parquet(listings(spark, sf_dir), src)
-    agg = ls.province_price_state(ls.listing_stream(spark, src, "parquet", max_files=2))
+    agg = ls.province_price_state(ls.listing_stream(spark, src, "parquet"))
     last = ls.run_available(agg, scratch_path(spark, "province-state"),
                             scratch_path(spark, "province-state-ckpt"))
     return ls.province_price_from_state(spark, last)
