@@ -43,7 +43,7 @@ RUN = 1 << 15
 @dataclass(frozen=True)
 class LeakRules:
     similarity: float = 0.8
-    block_bytes: int = 16 << 20
+    block_bytes: int = 8 << 20
 
 
 def _bits(shingles: np.ndarray) -> np.ndarray:
@@ -94,16 +94,17 @@ class ItemIndex:
         marks = np.array([item.print_ for item in self.items], np.uint8).reshape(len(self.items), BLOCKS)
         self.marks = marks
         near = np.unpackbits((np.arange(256)[:, None] ^ np.arange(256)[None, :]).astype(np.uint8)[..., None], axis=2).sum(axis=2) <= NEAR
-        #: [length][block]: for each byte value, the items of that length whose block is near it
-        self.tables = {n: [near[:, marks[own, b]] for b in range(BLOCKS)] for n, own in self.by_length.items()}
+        #: [length][block]: for each byte value, one bit per item of that length whose block is near it
+        self.tables = {n: [np.packbits(near[:, marks[own, b]], axis=1) for b in range(BLOCKS)] for n, own in self.by_length.items()}
 
     def within(self, prints: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) of all fingerprints within the radius, items of length n."""
-        found = np.zeros((len(prints), len(self.by_length[n])), dtype=bool)
+        found = np.zeros((len(prints), self.tables[n][0].shape[1]), np.uint8)
         for b, table in enumerate(self.tables[n]):
             found |= table[prints[:, b]]
-        window, item = np.nonzero(found)
-        item = self.by_length[n][item]
+        some = np.flatnonzero(found.any(axis=1))
+        window, item = np.nonzero(np.unpackbits(found[some], axis=1, count=len(self.by_length[n])))
+        window, item = some[window], self.by_length[n][item]
         far = np.unpackbits(prints[window] ^ self.marks[item], axis=1).sum(axis=1)
         near = far <= RADIUS
         return window[near], item[near]
