@@ -37,7 +37,7 @@ from hearth.llm._store import bounded, materialise
 HASHES, BANDS, STEP = 128, 32, 16
 ROWS = HASHES // BANDS
 #: Pairs compared at once inside a task.
-PAIRS = 1 << 17
+PAIRS = 1 << 15
 _RNG = np.random.default_rng(20240607)
 _MUL = _RNG.integers(1 << 32, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64)
