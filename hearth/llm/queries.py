@@ -156,10 +156,25 @@ def op6_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(read_table(spark, sf_dir, "documents", ["doc_id", "text"]), _PACK)
 
 
-@_query()
+_JOIN = jaccard.JoinRules()
+
+
+@_query(rf"""
+WITH RECURSIVE t AS (SELECT coalesce(text, '') AS t, min(doc_id) AS copy_id, count(*) AS n_copies FROM documents GROUP BY 1),
+w AS (SELECT copy_id, regexp_extract_all(lower(t), '[a-z0-9\x{{80}}-\x{{10FFFF}}]+') AS ws FROM t),
+s AS (SELECT DISTINCT copy_id AS id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda k: ws[k:k+4])
+                                                 WHEN len(ws) > 0 THEN [ws] ELSE [] END) AS g FROM w),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+p AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.id <> b.id GROUP BY 1, 2),
+l AS (SELECT p.a, p.b FROM p JOIN n x ON x.id = p.a JOIN n y ON y.id = p.b WHERE c >= {_JOIN.similarity} * (x.n + y.n - c)),
+r AS (SELECT copy_id AS id, copy_id AS low FROM t UNION SELECT l.b, r.low FROM r JOIN l ON l.a = r.id),
+c AS (SELECT id, min(low) AS class_id FROM r GROUP BY id),
+k AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT doc_id, class_id, coalesce(k.n, 0) AS n_links, t.copy_id, t.n_copies
+FROM documents d JOIN t ON coalesce(d.text, '') = t.t JOIN c ON c.id = t.copy_id LEFT JOIN k ON k.a = t.copy_id""")
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's class of near-duplicates and its number of links."""
-    return jaccard.similar_classes(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
+    return jaccard.similar_classes(read_table(spark, sf_dir, "documents", ["doc_id", "text"]), _JOIN)
 
 
 @_query(rf"""
