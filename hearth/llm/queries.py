@@ -95,11 +95,31 @@ def op3_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_verdict")
 
 
-@_query()
+_LEAKS = decontam.LeakRules()
+_WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\x{80}-\x{10FFFF}]+')"
+_GRAMS = """list_transform(range(1, len(ws) - 3), lambda k: ws[k:k+4])"""
+
+
+@_query(rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS row, {_WORDS} AS ws FROM documents),
+i AS (SELECT item_id, row_number() OVER () AS item, {_WORDS} AS ws FROM benchmark),
+g AS (SELECT row, len(ws) - 4 AS shingles, unnest({_GRAMS}) AS gram, unnest(range(len(ws) - 4)) AS pos FROM d WHERE len(ws) >= 5),
+q AS (SELECT item, len(ws) - 4 AS shingles, unnest({_GRAMS}) AS gram FROM i WHERE len(ws) >= 5),
+qc AS (SELECT item, shingles, gram, count(*) AS c, 1 + ln(list_sum(list_transform(gram, lambda w: strlen(w)))) AS w FROM q GROUP BY ALL),
+qt AS (SELECT item, sum(c * w) AS total FROM qc GROUP BY item),
+h AS (SELECT DISTINCT g.row, item, least(g.shingles, qc.shingles) AS size, unnest(range(greatest(0, pos - least(g.shingles, qc.shingles) + 1),
+        least(pos, g.shingles - least(g.shingles, qc.shingles)) + 1)) AS s FROM g JOIN qc ON g.gram = qc.gram),
+o AS (SELECT h.row, h.item, h.size, h.s, g.gram, count(*) AS c FROM h JOIN g ON g.row = h.row AND g.pos BETWEEN h.s AND h.s + h.size - 1 GROUP BY ALL),
+m AS (SELECT o.row, o.item, o.size, o.s, sum(o.c * (1 + ln(list_sum(list_transform(o.gram, lambda w: strlen(w)))))) AS own,
+             sum(coalesce(qc.w * least(o.c, qc.c), 0)) AS both_ FROM o LEFT JOIN qc ON qc.item = o.item AND qc.gram = o.gram GROUP BY ALL),
+v AS (SELECT m.*, both_ / (own + total - both_) AS sim FROM m JOIN qt USING (item)),
+b AS (SELECT * FROM v WHERE sim >= {_LEAKS.similarity} QUALIFY row_number() OVER (PARTITION BY row, item ORDER BY round(sim, 9) DESC, s) = 1)
+SELECT doc_id, item_id, round(sim, 6) AS similarity, s AS first_word, size + 4 AS n_words FROM b JOIN d USING (row) JOIN i USING (item)""")
 def op4_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark passage in the documents: (doc_id, item_id) and where it lies."""
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
-    return decontam.leaks(docs, read_table(spark, sf_dir, "benchmark", ["item_id", "text"]))
+    found = decontam.leaks(docs, read_table(spark, sf_dir, "benchmark", ["item_id", "text"]), _LEAKS)
+    return found.withColumn("similarity", F.round("similarity", 6))
 
 
 _LINES = lines.LineRules()
