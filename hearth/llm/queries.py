@@ -208,7 +208,20 @@ def op8_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_back(warc.archive(read_table(spark, sf_dir, "pages", ["page_id", "url", "html"])))
 
 
-@_query()
+@_query(f"""
+WITH b AS (SELECT doc_id, row_number() OVER () AS row, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT row, i, md5(substr(h, 2 * i + 1, {2 * suffix.DEPTH})) AS k
+      FROM (SELECT row, h, unnest(range(greatest(n - {suffix.DEPTH - 1}, 0))) AS i FROM b)),
+r AS (SELECT row, i FROM w QUALIFY count(*) OVER (PARTITION BY k) > 1),
+j AS (SELECT row, i, coalesce(i > lag(i) OVER (PARTITION BY row ORDER BY i) + {suffix.DEPTH}, true) AS new FROM r),
+s AS (SELECT row, min(i) AS a, max(i) + {suffix.DEPTH} AS e
+      FROM (SELECT row, i, sum(CAST(new AS INTEGER)) OVER (PARTITION BY row ORDER BY i) AS span FROM j) GROUP BY row, span),
+c AS (SELECT row, a, e FROM s UNION ALL SELECT row, n, n FROM b),
+p AS (SELECT row, a, e, lag(e, 1, 0) OVER (PARTITION BY row ORDER BY a, e) AS done FROM c),
+t AS (SELECT row, string_agg(substr(h, 2 * done + 1, 2 * (a - done)), '' ORDER BY a, e) AS kept FROM p JOIN b USING (row) GROUP BY row),
+x AS (SELECT row, CAST(sum(e - a) AS BIGINT) AS gone, count(*) AS spans FROM s GROUP BY row)
+SELECT doc_id, n AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM b JOIN t USING (row) LEFT JOIN x USING (row)""")
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the bytes of 200-byte strings that start elsewhere too."""
     rows = suffix.dedup(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
