@@ -11,12 +11,16 @@ from hearth.session import scratch_path
 BROADCAST_BYTES = 32 << 20
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+#: For tables with large values: readers hold a row group at once, so these keep it small.
+SMALL_GROUPS = {"parquet.block.size": 4 << 20, "parquet.block.size.row.check.min": 4, "parquet.page.size.row.check.min": 4}
+
+
+def materialise(df: DataFrame, name: str, options: dict[str, int] | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage and
     survives the loss of any executor."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

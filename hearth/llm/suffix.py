@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hearth.llm import _arrow as A
-from hearth.llm._store import materialise, small
+from hearth.llm._store import SMALL_GROUPS, materialise, small
 
 DEPTH = 200
 #: A perfect difference set modulo 133 (every residue is a difference of two).
@@ -55,7 +55,7 @@ _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd multipliers of the two
 @dataclass(frozen=True)
 class SuffixRules:
     #: Text bytes of a chunk (one longer document is a chunk by itself).
-    chunk_bytes: int = 1 << 20
+    chunk_bytes: int = 384 << 10
     #: Entries that a bucket should hold; more entries make more buckets.
     bucket_entries: int = 1 << 20
 
@@ -206,7 +206,7 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str, rules: SuffixRules) ->
     schema = T.StructType([T.StructField("chunk", T.LongType()), T.StructField("ids", T.ArrayType(kind)),
                            T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("keys", T.ArrayType(T.BinaryType())),
                            T.StructField("blob", T.BinaryType())])
-    return materialise(rows.mapInArrow(run, schema), "chunks")
+    return materialise(rows.mapInArrow(run, schema), "chunks", SMALL_GROUPS)
 
 
 def _copies(chunks: DataFrame) -> DataFrame:
