@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearth.llm._store import bounded, materialise
+from hearth.llm._store import SMALL_GROUPS, bounded, materialise
 
 MIN_REVISIT = 1000
 FRAME_BYTES = 256 << 10
@@ -174,7 +174,7 @@ def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pay
             yield out()
 
     bundles = rows.mapInArrow(run, "bundle string, content binary, index array<struct<record:string,frame:int,offset:bigint,length:bigint>>")
-    return materialise(bundles, "warc")
+    return materialise(bundles, "warc", SMALL_GROUPS)
 
 
 def record_index(bundles: DataFrame) -> DataFrame:
