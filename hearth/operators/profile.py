@@ -136,16 +136,17 @@ def central_tendency(df: DataFrame, col: str, exact: bool = True,
     return one.select(*[F.round(c, digits).alias(c) for c in ("mean", "median", "mode")])
 
 
-def histogram(df: DataFrame, col: str, bins: int = 50, digits: int = 6) -> DataFrame:
+def histogram(df: DataFrame, col: str, bins: int = 50, digits: int = 6, persist: bool = True) -> DataFrame:
     """Equal-width histogram (bin, bin_lower, bin_upper, n), empty bins included.
 
     Bins are numpy-style: ``bins`` equal widths between min and max, the
     last one closed on the right.  The range is one aggregate (two numbers
     to the driver), the counts one group-by with at most ``bins`` groups.
+    ``persist=False`` for a stored column, which is cheaper to scan twice.
     """
     spark = df.sparkSession
     axis = spark.range(1, bins + 1).select(F.col("id").cast("int").alias("bin"))
-    with cached_values(df, col) as x:
+    with cached_values(df, col, persist) as x:
         st = x.agg(F.min("x").alias("mn"), F.max("x").alias("mx")).first()
         if st["mn"] is None:
             return axis.select("bin", F.lit(None).cast("double").alias("bin_lower"),

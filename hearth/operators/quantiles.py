@@ -49,15 +49,18 @@ def _clean(df: DataFrame, col: str | Column) -> DataFrame:
 
 
 @contextmanager
-def cached_values(df: DataFrame, col: str | Column):
+def cached_values(df: DataFrame, col: str | Column, persist: bool = True):
     """Persist just the value column (as double ``x``, NaN -> null) for the
     duration of several passes: bounds, quantiles and aggregates of one
     series then share a single evaluation of the plan that produces it."""
-    x = _clean(df, col).persist(StorageLevel.MEMORY_AND_DISK)
+    x = _clean(df, col)
+    if persist:
+        x = x.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         yield x
     finally:
-        x.unpersist()
+        if persist:
+            x.unpersist()
 
 
 def approx_quantiles(df: DataFrame, col: str, probs: list[float],

@@ -36,11 +36,14 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+def _prices(spark: SparkSession, sf_dir: str, mode: str = "intended", *keys: str) -> DataFrame:
+    return listings(spark, sf_dir).select(*(keys or ("province",)), price_usd("price", mode).alias("price"))
+
+
 def _priced(spark: SparkSession, sf_dir: str, mode: str = "intended", *keys: str) -> DataFrame:
     """(keys, price), written once: the join and the parse run once for the
     quartiles and the result, and the cut is pushed into the scan of this stage."""
-    rows = listings(spark, sf_dir).select(*(keys or ("province",)), price_usd("price", mode).alias("price"))
-    return stage(rows, "priced")
+    return stage(_prices(spark, sf_dir, mode, *keys), "priced")
 
 
 # --------------------------------------------------------------------------
@@ -290,7 +293,7 @@ def quartiles_exact(spark, sf_dir):
 def quartiles_approx(spark, sf_dir):
     """The notebook's sketch quartiles (error 0.05) of the listing price; rows-only check."""
     from hearth.operators.quantiles import approx_quantiles
-    q1, q3 = approx_quantiles(_priced(spark, sf_dir), "price", [0.25, 0.75], 0.05)
+    q1, q3 = approx_quantiles(_prices(spark, sf_dir), "price", [0.25, 0.75], 0.05)
     return spark.createDataFrame([(q1, q3)], "q1 double, q3 double")
 
 
@@ -314,7 +317,7 @@ def central_tendency_part(spark, sf_dir):
 def central_tendency_listings(spark, sf_dir):
     """Mean, median and mode of the price after the IQR cut (the notebook's histogram lines)."""
     from hearth.operators.quantiles import cached_values, exact_quantiles
-    with cached_values(_priced(spark, sf_dir), "price") as x:
+    with cached_values(_prices(spark, sf_dir), "price") as x:
         b = outliers.IqrBounds(*exact_quantiles(x, "x", [0.25, 0.75], persist=False))
         return profile.central_tendency(x.where(outliers.keep_condition("x", b)), "x")
 
@@ -340,7 +343,7 @@ register("histogram_floor_area", with_listings(_h_body, _h_ctes))(
 _h_ctes, _h_body = _histogram_sql("orders", "o_totalprice")
 register("histogram_order_price", f"WITH {_h_ctes} {_h_body}")(
     lambda spark, sf_dir: profile.histogram(read_table(spark, sf_dir, "orders", ["o_totalprice"]),
-                                            "o_totalprice", 50))
+                                            "o_totalprice", 50, persist=False))
 
 
 _BOX_SQL = with_listings(
@@ -363,7 +366,7 @@ _BOX_SQL = with_listings(
 
 @register("boxplot_stats", _BOX_SQL)
 def boxplot_stats(spark, sf_dir):
-    return profile.boxplot_with_and_without_outliers(_priced(spark, sf_dir), "price")
+    return profile.boxplot_with_and_without_outliers(_prices(spark, sf_dir), "price")
 
 
 @register("iqr_bounds", with_listings(
@@ -371,7 +374,7 @@ def boxplot_stats(spark, sf_dir):
               ROUND(q1 - 1.5 * (q3 - q1), 4) AS lower_bound, ROUND(q3 + 1.5 * (q3 - q1), 4) AS upper_bound
        FROM b""", _PRICED_CTE + ", " + _BOUNDS_CTE))
 def iqr_bounds(spark, sf_dir):
-    b = outliers.bounds_frame(_priced(spark, sf_dir), "price", relative_error=None)
+    b = outliers.bounds_frame(_prices(spark, sf_dir), "price", relative_error=None)
     return b.select(*[F.round(c, 4).alias(c) for c in b.columns])
 
 
