@@ -236,6 +236,40 @@ def test_trees_add_what_looks_like_personal_data(spark):
     assert all(got[1000 + k].spans == "" for k in range(600))
 
 
+@pytest.mark.parametrize("mentions", [0, 300])
+def test_ratio_of_base_spans_to_candidates_decides_nothing(spark, mentions):
+    """Spelled-out emails among many plain ones are added, few dates and number groups among many phones are not."""
+    rng = np.random.default_rng(6)
+
+    def name():
+        return "".join(rng.choice(list("bcdfgklmn"), 6))
+
+    rows = [(k, f"mine is {name()}@{name()}.org now") for k in range(2000)]
+    rows += [(10_000 + k, f"mine is {name()} at {name()} dot org now") for k in range(150)]
+    rows += [(10_150 + k, f"mine is {name()}[at]{name()}.org now") for k in range(150)]
+    rows += [(20_000 + k, f"reach +{rng.integers(100, 999)} {rng.integers(100, 999)} {rng.integers(1000, 9999)} now") for k in range(500)]
+    rows += [(30_000 + k, f"reach {rng.integers(100, 999)} {rng.integers(100, 999)} {rng.integers(1000, 9999)} now") for k in range(12)]
+    rows += [(30_100 + k, f"reach 2024-05-{10 + k} 10.30 now") for k in range(12)]
+    rows += [(40_000 + k, f"we look at {name()}.org now") for k in range(mentions)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    judge = pii.fit(docs, pii.PiiRules(trees=3))
+    assert ("email" in judge.thresholds) == (mentions > 0) and "phone" not in judge.thresholds
+    for r in pii.pii_spans(docs, judge=judge).collect():
+        assert (r.added_email, r.added_ip, r.added_card, r.added_phone) == (int(10_000 <= r.doc_id < 20_000), 0, 0, 0), r
+
+
+def test_prior_judges_without_trees(spark):
+    rows = [
+        (1, "ann [at] site [dot] org", "email:0:23"), (2, "contact: ann at site.org", "email:9:24"), (3, "look at site.org", ""),
+        (4, "we met at 10.30", ""), (5, "see 10[.]0[.]0[.]1", "ip:4:18"), (6, "see 10[.]0[.]0[.]999", ""),
+        (7, "4111.1111.1111.1111", "card:0:19"), (8, "4111.1111.1111.1112", ""), (9, "call 020 7946 0958", "phone:5:18"),
+        (10, "rows 020 7946 0958", ""), (11, "call 2024-05-12 10.30", ""),
+    ]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.pii_spans(docs, judge=pii.fit(docs)).collect()}
+    assert got == {r[0]: r[2] for r in rows}
+
+
 def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "a@b.c")], "doc_id long, text string")
     assert pii.fit(docs) == pii.Judge() and pii.fit(docs.limit(0)) == pii.Judge()
