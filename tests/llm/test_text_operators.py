@@ -270,6 +270,16 @@ def test_prior_judges_without_trees(spark):
     assert got == {r[0]: r[2] for r in rows}
 
 
+def test_training_sample_is_bounded_full_and_repeatable(spark):
+    rows = [(k % 1900, f"text {k}") for k in range(2000)] + [(None, "copy")] * 500
+    got = []
+    for parts in (1, 7):
+        docs = spark.createDataFrame(rows[::-1] if parts == 1 else rows, "doc_id long, text string").repartition(parts)
+        got.append([sorted(map(tuple, pii.sample(docs, pii.PiiRules(train_docs=n)).collect()), key=str) for n in (1, 40, 2400, 5000)])
+        assert [len(g) for g in got[-1]] == [1, 40, 2400, 2500]
+    assert got[0] == got[1] and pii.sample(docs.limit(0)).count() == 0
+
+
 def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "a@b.c")], "doc_id long, text string")
     assert pii.fit(docs) == pii.Judge() and pii.fit(docs.limit(0)) == pii.Judge()
