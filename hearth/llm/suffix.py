@@ -10,9 +10,11 @@ sorted to that depth:
    at the same shift, equal 68-byte strings at sampled offsets.  The sample is
    ranked first: which of its 68-byte strings occur more than once.
 2. Suffix buckets.  A suffix that meets no repeated sample string within its
-   first 133 bytes ties with no other; these, nearly all, are done.  The rest
-   go to buckets by their leading fingerprint bits, and each bucket is sorted
-   by itself, the only thing a task holds.
+   first 133 bytes ties with no other; these, nearly all, are done.  Ties inside
+   a chunk are settled there.  Those that meet a string of another chunk go to
+   buckets by their leading fingerprint bits, and each bucket is sorted by
+   itself, the only thing a task holds; they are counted before the number of
+   buckets is chosen.
 3. Suffixes that tie to the depth of 200 bytes are repeated; the bytes that
    they cover are cut out.
 
@@ -130,18 +132,29 @@ class Chunk:
         distinct, entry, counts = np.unique(value, return_inverse=True, return_counts=True)
         return where, entry.ravel(), distinct, counts > 1
 
-    def suffixes(self, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Suffixes that meet a repeated sample string: positions, entry of each,
-        distinct entries (two fingerprints, sorted), and which repeat here."""
-        where, entry, _, here = self.samples()
-        hits = where[(repeated | here)[entry]]
+    def near(self, hits: np.ndarray) -> np.ndarray:
+        """Suffixes that meet a sampled position of ``hits`` within their first 133 bytes."""
         near = np.zeros(len(self.data) + 2, np.int32)
         doc = np.searchsorted(self.starts, hits, "right") - 1
         np.add.at(near, np.maximum(hits - (CYCLE - 1), self.starts[doc]), 1)
         np.add.at(near, hits + 1, -1)
         found = np.flatnonzero(np.cumsum(near[:-2]) > 0)
         doc = np.searchsorted(self.starts, found, "right") - 1
-        found = found[found + DEPTH <= self.starts[doc + 1]]
+        return found[found + DEPTH <= self.starts[doc + 1]]
+
+    def to_send(self, rows: list[dict] | None) -> int:
+        """At most so many entries go to the buckets (copies in this chunk counted)."""
+        where, entry, distinct, _ = self.samples()
+        return len(self.near(where[_bits(rows, len(distinct))[entry]]))
+
+    def suffixes(self, rows: list[dict] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Suffixes that meet a repeated sample string: positions, entry of each,
+        distinct entries (two fingerprints, sorted), which repeat here, and which
+        may repeat in other chunks."""
+        where, entry, distinct, here = self.samples()
+        repeated = _bits(rows, len(distinct))
+        away = self.near(where[repeated[entry]])
+        found = self.near(where[(repeated | here)[entry]])
         a, b = (p.at(self.data, found, DEPTH) for p in Chunk.prints)
         b = (b >> np.uint64(32)).astype(np.uint32)
         order, same = sorted_ties(a, b)
@@ -150,7 +163,9 @@ class Chunk:
         entry = np.empty(len(found), np.int64)
         entry[order] = np.cumsum(first) - 1
         counts = np.bincount(entry, minlength=int(first.sum()))
-        return found, entry, a[order][first], b[order][first], counts > 1
+        sent = np.zeros(len(counts), dtype=bool)
+        sent[entry[np.searchsorted(found, away)]] = True  # ``away`` lies within ``found``
+        return found, entry, a[order][first], b[order][first], counts > 1, sent
 
 
 def sorted_ties(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -294,17 +309,24 @@ def dedup(docs: DataFrame, rules: SuffixRules = SuffixRules(), id_col: str = "do
 
     ranks = _repeated(work.select("chunk", "sizes", "blob", "copies").mapInArrow(rank, _SENT), width, "ranks")
     work = with_side(work, ranks, _weight("ranks"))
-    hits = ranks.agg(F.sum(F.aggregate("ranks", F.lit(0).cast("long"), lambda s, x: s + x["hits"]))).first()[0] or 0
-    bits2 = _buckets(2 * hits * CYCLE / len(COVER), rules)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
+                yield pa.RecordBatch.from_arrays([pa.array([Chunk(row).to_send(row["ranks"])], pa.int64())], names=["n"])
+
+    # sample strings alone do not tell: each may stand at many places of its chunk
+    ranked = work.select("chunk", "sizes", "blob", "copies", "ranks")
+    entries = ranked.drop("chunk").filter("ranks IS NOT NULL").mapInArrow(count, "n bigint").agg(F.sum("n")).first()[0] or 0
+    bits2 = _buckets(entries, rules)
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
-                chunk = Chunk(row)
-                _, _, a, b, _ = chunk.suffixes(_bits(row["ranks"], len(chunk.samples()[2])))
-                yield _sent(row["chunk"], bits2, a, b, 8)
+                _, _, a, b, _, sent = Chunk(row).suffixes(row["ranks"])
+                yield _sent(row["chunk"], bits2, a[sent], b[sent], 8)
 
-    ties = _repeated(work.select("chunk", "sizes", "blob", "copies", "ranks").mapInArrow(suffixes, _SENT), 8, "ties")
+    ties = _repeated(ranked.mapInArrow(suffixes, _SENT), 8, "ties")
     work = with_side(work, ties, _weight("ties"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,8 +343,9 @@ def dedup(docs: DataFrame, rules: SuffixRules = SuffixRules(), id_col: str = "do
 
 
 def _kept(chunk: Chunk, row: dict, ids: pa.Array) -> pa.RecordBatch:
-    where, entry, a, _, here = chunk.suffixes(_bits(row["ranks"], len(chunk.samples()[2])))
-    found = where[(_bits(row["ties"], len(a)) | here)[entry]]
+    where, entry, _, _, again, sent = chunk.suffixes(row["ranks"])
+    again[sent] |= _bits(row["ties"], int(sent.sum()))
+    found = where[again[entry]]
     cover = np.zeros(len(chunk.data) + 1, np.int32)
     cover[found] += 1  # positions are distinct
     cover[found + DEPTH] -= 1

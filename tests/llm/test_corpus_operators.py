@@ -199,6 +199,28 @@ def test_suffix_dedup_equals_brute_force(spark, rules):
     assert suffix.dedup(frame.limit(0), rules).count() == 0
 
 
+def test_repeats_inside_a_chunk_are_not_sent(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    own = [text_of(rng, 120) for _ in range(6)]
+    line = text_of(rng, 60)  # in all chunks, at many places of each
+    rows = [(k, f"{text_of(rng, 20)} {own[k // 8]} {text_of(rng, 20)}") for k in range(48)]
+    rows += [(100 + k, f"{text_of(rng, 40)} {line} {text_of(rng, 40)}") for k in range(24)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    rules = suffix.SuffixRules(chunk_bytes=8 * max(len(r[1]) for r in rows), bucket_entries=500)
+    buckets = []
+    repeated = suffix._repeated
+
+    def watched(sent, width, name):
+        if name == "ties":
+            buckets.extend(r.n for r in sent.groupBy("bucket").agg(F.sum(F.octet_length("a") / width).alias("n")).collect())
+        return repeated(sent, width, name)
+
+    monkeypatch.setattr(suffix, "_repeated", watched)
+    got = suffix.dedup(frame, rules).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256))
+    assert sorted(map(tuple, got.collect()), key=str) == brute_suffix(rows)
+    assert max(buckets) < 1.5 * rules.bucket_entries
+
+
 # ---- archives ------------------------------------------------------------
 
 PAGES = [
