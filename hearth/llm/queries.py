@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearth.llm import chat, decontam, jaccard, lines, packing, pii, quality, suffix, urls, warc
+from hearth.llm import align, chat, decontam, jaccard, lines, packing, pii, quality, suffix, urls, warc
 from hearth.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -251,3 +251,9 @@ SELECT page_id, host, path, {str([r.host + r.path for r in _ORDERED])}[r + 1] AS
 def op10_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page URL judged by the rules, else by its terms."""
     return urls.url_verdicts(read_table(spark, sf_dir, "pages", ["page_id", "url"]))
+
+
+@_query()
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's groups and links between two tokenizers, and its links' corpus-wide counts."""
+    return align.align(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
