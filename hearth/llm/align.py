@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -75,6 +76,10 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+#: Fixed value: how byte-level vocabularies of this kind cut a text before merging.
+WORD = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 class Side:
     """Encoder of strings that begin with a space, and the bytes of every id."""
 
@@ -88,6 +93,13 @@ class Side:
     def __len__(self) -> int:
         return len(self.sizes)
 
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        raise NotImplementedError
+
+    def joined(self, text: str) -> np.ndarray:
+        """The ids of plain pieces written one after the other."""
+        return np.array(self.encode([text])[0], np.int64)
+
 
 class ByteLevel(Side):
     def __init__(self, raw: bytes) -> None:
@@ -102,10 +114,29 @@ class ByteLevel(Side):
             known = all(c in alphabet for c in entry)
             entries[k] = bytes(alphabet[c] for c in entry) if known else entry.encode()
         self._fill(entries)
+        self.ranks = self._as_ranks(json.loads(raw), vocabulary, alphabet)
+
+    @staticmethod
+    def _as_ranks(file: dict, vocabulary: dict[str, int], alphabet: dict[str, int]):
+        """The same vocabulary with ids as merge ranks, if the file's merges come in the order of their ids."""
+        import tiktoken
+
+        model, cut = file["model"], file.get("pre_tokenizer") or {}
+        merges = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model.get("merges", [])]
+        ids = [vocabulary.get(m, -1) for m in merges]
+        usual = (model["type"] == "BPE" and not file.get("normalizer") and cut.get("type") == "ByteLevel"
+                 and cut.get("use_regex", True) and not cut.get("add_prefix_space"))
+        if not usual or min(ids, default=0) < 0 or any(a >= b for a, b in zip(ids, ids[1:], strict=False)):
+            return None
+        own = [(m, vocabulary[m]) for m in {*merges, *alphabet} if m in vocabulary]
+        return tiktoken.Encoding("a", pat_str=WORD, mergeable_ranks={bytes(alphabet[c] for c in m): k for m, k in own}, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def joined(self, text: str) -> np.ndarray:
+        return super().joined(text) if self.ranks is None else np.array(self.ranks.encode_ordinary(text), np.int64)
+
 
 class Pieces(Side):
     SPACE = "▁"
@@ -180,19 +211,61 @@ def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - ends + counts, counts) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
+#: Bytes of text that A's two encoders cut alike whatever their Unicode tables: ASCII without controls, Latin letters.
+_SIMPLE = A.lut(bytes([9, 10, *range(32, 127), *range(0x80, 0xC0), *range(0xC3, 0xCA)]))
+
+
+def _plain(body: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Pieces that may be written one after the other and encoded at once: one
+    space, no white space behind it, and none at the end."""
+    starts, ends = bounds[:-1], bounds[1:]
+    ok = (ends - starts > 1) & (A.per_doc(~_SIMPLE[body], bounds) == 0)
+    at = np.flatnonzero(ok)
+    ok[at] &= (body[starts[at]] == 32) & ~_SPACES[body[starts[at] + 1]] & ~_SPACES[body[ends[at] - 1]]
+    return ok
+
+
+#: Bytes of pieces that are encoded at once.
+_JOINED = 1 << 16
+
+
+def _encoded(side: Side, pieces: pa.Array, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all pieces, one after the other, and how many each has."""
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    alone = [np.flatnonzero(~plain)]
+    at = np.flatnonzero(plain)
+    body, bounds = A.flat(pieces.filter(pa.array(plain)))
+    k = 0
+    while k < len(at):
+        e = max(k + 1, int(np.searchsorted(bounds, bounds[k] + _JOINED, "right")) - 1)
+        text = body[bounds[k]: bounds[e]]
+        ids = side.joined(text.tobytes().decode())
+        ends = bounds[k] + np.cumsum(side.sizes[ids])
+        cuts = np.searchsorted(ends, bounds[k + 1: e + 1])
+        if len(ids) and ends[-1] == bounds[e] and (ends[np.minimum(cuts, len(ids) - 1)] == bounds[k + 1: e + 1]).all():
+            found.append((at[k:e], ids, np.diff(cuts, prepend=-1)))
+        else:  # some piece is not given back; each by itself tells which
+            alone.append(at[k:e])
+        k = e
+    rest = np.concatenate(alone)
+    lists = side.encode(pieces.take(pa.array(rest)).cast(pa.large_string()).to_pylist()) if len(rest) else []
+    found.append((rest, np.array([x for ids in lists for x in ids], np.int64), np.array([len(x) for x in lists], np.int64)))
+    of, ids, counts = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(of, kind="stable")
+    return ids[_spread((np.cumsum(counts) - counts)[order], counts[order])], counts[order]
+
+
 class Pairs:
     """Groups, links and written groups of distinct pieces."""
 
     def __init__(self, sides: Sides, pieces: pa.Array) -> None:
-        texts = pieces.cast(pa.large_string()).to_pylist()
         body, bounds = A.flat(pieces)
-        n = len(texts)
+        n = len(pieces)
         self.ok = np.ones(n, dtype=bool)
         found = []
+        plain = _plain(body, bounds) if sides.b.cuts_at_spaces else np.zeros(n, dtype=bool)
         for side in (sides.a, sides.b):
-            lists = side.encode(texts)
-            counts = np.fromiter(map(len, lists), np.int64, n)
-            ids = np.fromiter((k for x in lists for k in x), np.int64, int(counts.sum()))
+            ids, counts = _encoded(side, pieces, plain)
             found.append((side, ids, counts))
             self.ok &= self._gives_back(side, ids, counts, body, bounds)
         ends, ids, counts = [], [], []
