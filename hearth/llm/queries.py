@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearth.llm import align, chat, decontam, jaccard, lines, negatives, packing, pii, quality, suffix, urls, warc
+from hearth.llm import align, chat, decontam, fmindex, jaccard, lines, negatives, packing, pii, quality, suffix, urls, warc
 from hearth.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -279,3 +279,20 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding", "label"])
     shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.mine(rows.withColumn("label", shifted), F.col("id") % 100 == 0)
+
+
+@_query(rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, row, i, md5(array_to_string(ws[i + 1: i + {fmindex.WINDOW}], ' ')) AS k
+      FROM (SELECT doc_id, row, ws, unnest(range(greatest(len(ws) - {fmindex.WINDOW - 1}, 0))) AS i FROM d)),
+r AS (SELECT row, i FROM w QUALIFY doc_id > min(doc_id) OVER (PARTITION BY k)),
+g AS (SELECT DISTINCT row, i + j AS pos FROM r, range({fmindex.WINDOW}) AS x(j)),
+t AS (SELECT doc_id, row, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS pos FROM d),
+k AS (SELECT row, count(g.pos) AS gone, coalesce(string_agg(w, ' ' ORDER BY t.pos) FILTER (g.pos IS NULL), '') AS kept
+      FROM t LEFT JOIN g USING (row, pos) GROUP BY row)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (row)""")
+def op11_substring_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of 50-word windows that an earlier document holds too."""
+    rows = fmindex.dedup(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
