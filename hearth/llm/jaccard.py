@@ -363,14 +363,17 @@ def similar_classes(docs: DataFrame, rules: JoinRules = JoinRules(), id_col: str
 
 def one_per_class(docs: DataFrame, rules: JoinRules = JoinRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The document with the smallest id of each class, with its columns as they were."""
-    found = join(docs, rules, id_col, text_col)
+    names = docs.columns
+    id_at, text_at = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
+    docs = docs.toDF(*(f"c{k}" for k in range(len(names))))  # so that no column clashes with one of ours
+    found = join(docs, rules, id_at, text_at)
     classes = node_classes(found)
     # of texts that share the smallest id, the smallest key stays
     stay = classes.filter(F.col("copy_id").eqNullSafe(F.col("class_id"))).groupBy("label").agg(F.min("key").alias("_k"), F.min("copy_id").alias("_id"))
     same = found.texts.groupBy(F.col("key").alias("k"), F.col("id").alias("i")).agg(F.count("*").alias("_n"))
     stay = materialise(stay.join(same, (F.col("_k") == F.col("k")) & F.col("_id").eqNullSafe(F.col("i"))).select("_k", "_id", "_n"), "kept")
-    key = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
-    on = (key == F.col("_k")) & F.col(id_col).eqNullSafe(F.col("_id"))
+    key = F.unhex(F.md5(F.coalesce(F.col(text_at), F.lit(""))))
+    on = (key == F.col("_k")) & F.col(id_at).eqNullSafe(F.col("_id"))
     rows = docs.join(bounded(stay, 64), on).drop("_id")
     repeated = rows.filter("_n > 1").dropDuplicates(["_k"])  # a row that is there several times
-    return rows.filter("_n = 1").unionByName(repeated).drop("_k", "_n")
+    return rows.filter("_n = 1").unionByName(repeated).drop("_k", "_n").toDF(*names)

@@ -1,8 +1,11 @@
 """Line dedup by site-relative frequency [DataFrame functions only].
 
-A line is boilerplate of a host if more than ``max_share`` of the host's
-pages contain it (and at least ``min_pages`` do); such lines are dropped from
-the host's pages.
+A line is boilerplate of a host if the share of the host's pages that contain
+it exceeds ``max_share``; such lines are dropped from the host's pages.  The
+share is read with care for small hosts: its lower Wilson bound counts, which
+comes close to the share itself as the pages grow in number (two of two pages
+count 0.42, two of ten 0.07, 200 of 1,000 0.18).  A line on one page only is
+never boilerplate.
 
 Lines are the ``\\n``-separated pieces of the whole text; only lines with a
 word count and can be dropped, blank ones stay.  Defined results: a null text
@@ -27,13 +30,21 @@ HAS_WORD = r"[^\x20\x09-\x0D]"
 @dataclass(frozen=True)
 class LineRules:
     max_share: float = 0.1
-    min_pages: int = 5
+    #: Normal quantile of the bound (one-sided 95 %).
+    z: float = 1.645
 
 
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+def share_bound(part: Column, whole: Column, z: float) -> Column:
+    """Lower Wilson bound of a share."""
+    share, zz = part / whole, z * z
+    spread = z * F.sqrt((share * (1 - share) + zz / (4 * whole)) / whole)
+    return (share + zz / (2 * whole) - spread) / (1 + zz / whole)
+
+
 def boilerplate(docs: DataFrame, rules: LineRules, host_col: str, text_col: str) -> DataFrame:
     """One row per host: the md5 digests of its boilerplate lines.
 
@@ -44,15 +55,16 @@ def boilerplate(docs: DataFrame, rules: LineRules, host_col: str, text_col: str)
     pages = docs.select(F.col(host_col).alias("_host"), F.col(text_col).alias("_text"))
     once = pages.select("_host", F.explode(F.array_distinct(_lines(F.col("_text")))).alias("_line"))
     counts = (once.filter(F.col("_line").rlike(HAS_WORD)).groupBy("_host", F.md5("_line").alias("_key"))
-              .agg(F.count("*").alias("_pages")).filter(F.col("_pages") >= rules.min_pages))
+              .agg(F.count("*").alias("_pages")).filter("_pages > 1"))
     totals = pages.groupBy(F.col("_host").alias("_of")).agg(F.count("*").alias("_total"))
     found = counts.join(totals, F.col("_host").eqNullSafe(F.col("_of"))).filter(
-        F.col("_pages") > rules.max_share * F.col("_total"))
+        share_bound(F.col("_pages"), F.col("_total"), rules.z) > rules.max_share)
     return materialise(found.groupBy("_host").agg(F.collect_list("_key").alias("_drop")), "boilerplate")
 
 
 def _joined(docs: DataFrame, rules: LineRules, host_col: str, text_col: str) -> tuple[DataFrame, Column, Column]:
-    """``docs`` with its host's digests joined, the kept lines and the dropped count."""
+    """``docs`` with its host's digests joined, the kept lines and the dropped
+    count.  The columns of ``docs`` must not begin with an underscore."""
     bad = boilerplate(docs, rules, host_col, text_col).withColumnRenamed("_host", "_at")
     weight = bad.agg(F.sum(64 + 40 * F.size("_drop"))).first()[0] or 0
     side = F.broadcast(bad) if weight <= BROADCAST_BYTES else bad
@@ -69,11 +81,11 @@ def _joined(docs: DataFrame, rules: LineRules, host_col: str, text_col: str) ->
 def line_report(docs: DataFrame, rules: LineRules = LineRules(), id_col: str = "doc_id",
                 host_col: str = "source", text_col: str = "text") -> DataFrame:
     """One row per document: its lines, those dropped, and the text that is left."""
-    rows, kept, _ = _joined(docs.select(id_col, host_col, text_col), rules, host_col, text_col)
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("source"), F.col(text_col).alias("text"))
+    rows, kept, _ = _joined(docs, rules, "source", "text")
+    n = F.size(_lines(F.col("text")))
     return rows.withColumn("_kept", kept).select(
-        F.col(id_col).alias("doc_id"), F.col(host_col).alias("source"),
-        F.size(_lines(F.col(text_col))).cast("long").alias("n_lines"),
-        (F.size(_lines(F.col(text_col))) - F.size("_kept")).cast("long").alias("n_dropped"),
+        "doc_id", "source", n.cast("long").alias("n_lines"), (n - F.size("_kept")).cast("long").alias("n_dropped"),
         F.array_join("_kept", "\n").alias("text"))
 
 
@@ -81,10 +93,11 @@ def drop_boilerplate(docs: DataFrame, rules: LineRules = LineRules(), host_col:
                      text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with the boilerplate lines cut out of the texts (``chars_col``, if
     present, is the new length); a document keeps its row even if all its lines go."""
-    rows, kept, is_bad = _joined(docs, rules, host_col, text_col)
-    text = F.when(is_bad, F.array_join(kept, "\n")).otherwise(F.col(text_col))
-    rows = rows.withColumn("_new", text)
+    names = docs.columns
+    host, text = (f"c{names.index(c)}" for c in (host_col, text_col))
+    rows, kept, is_bad = _joined(docs.toDF(*(f"c{k}" for k in range(len(names)))), rules, host, text)
+    rows = rows.withColumn("_new", F.when(is_bad, F.array_join(kept, "\n")).otherwise(F.col(text)))
     new = {text_col: F.col("_new")}
-    if chars_col in docs.columns:
-        new[chars_col] = F.when(F.size("_here") > 0, F.length("_new").cast("long")).otherwise(F.col(chars_col))
-    return rows.select(*((new[c] if c in new else F.col(f"`{c}`")).alias(c) for c in docs.columns))
+    if chars_col in names:
+        new[chars_col] = F.when(is_bad, F.length("_new").cast("long")).otherwise(F.col(f"c{names.index(chars_col)}"))
+    return rows.select(*(new.get(c, F.col(f"c{k}")).alias(c) for k, c in enumerate(names)))

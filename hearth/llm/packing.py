@@ -14,16 +14,19 @@ table gives an empty result; other columns are never read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from hearth.llm import _arrow as A
 from hearth.llm._store import materialise
 
-#: A token: a run of ASCII letters and digits, or any other non-space character.
-TOKEN = r"[A-Za-z0-9]+|[^A-Za-z0-9\x20\x09-\x0D]"
+#: A token is a run of ASCII letters and digits, or any other non-space character.
 
 
 @dataclass(frozen=True)
@@ -35,8 +38,25 @@ class PackRules:
     cell_rows: int = 200_000
 
 
-def token_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(TOKEN)), F.lit(0)).cast("long")
+_ALNUM = A.lut(bytes([*range(48, 58), *range(65, 91), *range(97, 123)]))
+
+
+def token_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, n: the tokens of each text, counted on its bytes in one pass (no
+    list of tokens is built): starts of runs, and characters that are no space."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            done = 0
+            for piece, data, offsets in A.slices(batch, "t"):
+                starts, _, _, alnum = A.runs(data, offsets, _ALNUM)
+                token = A.NOT_SPACE[data] & ~alnum & ((data & 0xC0) != 0x80)  # one for each code point
+                token[starts] = True
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(done, piece.num_rows), pa.array(A.per_doc(token, offsets))], names=["doc_id", "n"])
+                done += piece.num_rows
+
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], T.StructField("n", T.LongType())]))
 
 
 def best_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
@@ -74,9 +94,13 @@ def packed(docs: DataFrame, rules: PackRules = PackRules(), id_col: str = "doc_i
 
     ``length`` may be any token count; the default counts words and marks.
     """
-    size = token_count(F.col(text_col)) if length is None else F.coalesce(length, F.lit(0)).cast("long")
     top = rules.max_length
-    sized = materialise(docs.select(F.col(id_col).alias("doc_id"), size.alias("n")).filter("n > 0"), "lengths")
+    if length is None:
+        sized = token_counts(docs, id_col, text_col)
+    else:
+        sized = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(length, F.lit(0)).cast("long").alias("n"))
+    # filtered when read: a filter in the same plan would be pushed below a computed length and run it twice
+    sized = materialise(sized, "lengths").filter("n > 0")
     bins = sized.groupBy("n").agg(F.count("*").alias("c"))
     # full pieces of longer documents all have max_length, so bins hold at most max_length rows
     bins = bins.select(F.explode(F.array(

@@ -131,7 +131,8 @@ l AS (SELECT row, source, unnest(string_split(t, chr(10))) AS line, generate_sub
 c AS (SELECT source, line, count(DISTINCT row) AS n FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY ALL),
 h AS (SELECT source, count(*) AS total FROM d GROUP BY source),
 bad AS (SELECT c.source, c.line FROM c JOIN h ON c.source IS NOT DISTINCT FROM h.source
-        WHERE n >= {_LINES.min_pages} AND n > {_LINES.max_share}::DOUBLE * total),
+        WHERE n > 1 AND (n / total + {_LINES.z * _LINES.z}::DOUBLE / (2 * total) - {_LINES.z}::DOUBLE
+          * sqrt((n / total * (1 - n / total) + {_LINES.z * _LINES.z}::DOUBLE / (4 * total)) / total)) / (1 + {_LINES.z * _LINES.z}::DOUBLE / total) > {_LINES.max_share}::DOUBLE),
 j AS (SELECT l.*, bad.line IS NOT NULL AS gone FROM l LEFT JOIN bad ON l.source IS NOT DISTINCT FROM bad.source AND l.line = bad.line),
 a AS (SELECT row, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
              coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text FROM j GROUP BY row)

@@ -1,6 +1,7 @@
 """Measures, line dedup, packing, URLs and personal data against plain Python."""
 
 import collections
+import math
 import hashlib
 import re
 
@@ -82,16 +83,24 @@ def test_line_dedup_equals_brute_force(spark):
         rows.append((k, "\n".join(rng.permutation(own)), host, "h", "l"))
     rows += [(500, None, "a", "h", "l"), (501, "", "a", "h", "l"), (500, None, "a", "h", "l"), (502, "menu\nmenu", "new", "h", "l")]
     docs = frame(spark, rows)
-    rules = lines.LineRules(max_share=0.2, min_pages=3)
+    rows += [(600 + k, f"two pages\nown {k}", "small", "h", "l") for k in range(2)] + [(610 + k, f"few pages {k // 2}\nall of few\nown {k}", "few", "h", "l") for k in range(9)]
+    docs = frame(spark, rows)
+    rules = lines.LineRules(max_share=0.2)
     total, count = collections.Counter(), collections.Counter()
     for r in rows:
         total[r[2]] += 1
         for ln in set((r[1] or "").split("\n")):
             count[r[2], ln] += 1
 
+    def low(n, of):
+        p, zz = n / of, rules.z ** 2
+        return (p + zz / 2 / of - rules.z * math.sqrt((p * (1 - p) + zz / 4 / of) / of)) / (1 + zz / of)
+
     def cut(r):
         return [ln for ln in (r[1] or "").split("\n") if not (
-            ln.strip(" \t\n\x0b\x0c\r") and count[r[2], ln] >= 3 and count[r[2], ln] > 0.2 * total[r[2]])]
+            ln.strip(" \t\n\x0b\x0c\r") and count[r[2], ln] > 1 and low(count[r[2], ln], total[r[2]]) > 0.2)]
+
+    assert cut(rows[-10]) == ["own 1"] and cut(rows[-1]) == ["few pages 4", "own 8"]  # small hosts have boilerplate too
 
     got = sorted((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in lines.line_report(docs, rules).collect())
     want = sorted((r[0], len((r[1] or "").split("\n")), len((r[1] or "").split("\n")) - len(cut(r)), "\n".join(cut(r))) for r in rows)
