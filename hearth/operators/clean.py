@@ -6,7 +6,7 @@ Catalyst collapses it into the scan's whole-stage-codegen span.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearth.functions.flags import (
@@ -25,15 +25,13 @@ NUMERIC_FEATURES_A = (
 )
 
 
-def typed_listings(df: DataFrame, mode: str = "intended", keep_address: bool = False) -> DataFrame:
-    """Raw listings -> typed columns (flags replace their text, as in the notebook).
-
-    ``price`` becomes US dollars (double), ``ceiling_height`` metres
-    (``high_ceiling`` its 0/1 flag), ``rooms``/``bathrooms`` integers
-    (``6+`` -> null), plus the floor bands and the binary flags.
-    """
+def typed_columns(mode: str = "intended") -> dict[str, Column]:
+    """The typed columns by name: ``price`` in US dollars (double),
+    ``ceiling_height`` in metres (``high_ceiling`` its 0/1 flag), ``rooms`` and
+    ``bathrooms`` as integers (``6+`` -> null), the floor bands and the flags
+    (which replace their text, as in the notebook)."""
     height = ceiling_height("ceiling_height", mode)
-    cols = {
+    return {
         "province": F.col("province"),
         "construction_type": F.col("construction_type"),
         "balcony": F.col("balcony"),
@@ -54,6 +52,11 @@ def typed_listings(df: DataFrame, mode: str = "intended", keep_address: bool = F
         "rooms": parse_int("rooms"),
         "bathrooms": parse_int("bathrooms"),
     }
+
+
+def typed_listings(df: DataFrame, mode: str = "intended", keep_address: bool = False) -> DataFrame:
+    """Raw listings -> their typed columns only (see ``typed_columns``)."""
+    cols = typed_columns(mode)
     if keep_address:
         cols = {"address": F.col("address"), **cols}
     return df.select(*[e.alias(k) for k, e in cols.items()])

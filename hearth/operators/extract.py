@@ -112,6 +112,28 @@ def page_details_wide(pages: DataFrame, labels: list[str], names: list[str] | No
     return m.select("page_id", *[F.col("details")[lab].alias(n) for lab, n in zip(labels, names)])
 
 
+def frequent_labels(details: DataFrame, most: int) -> list[str]:
+    """The ``most`` labels that the most pages have (ties by label), from
+    ``page_details_long``: at most ``most`` rows reach the driver."""
+    counts = details.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return [r["label"] for r in counts.orderBy(F.col("n").desc(), "label").limit(most).collect()]
+
+
+def page_details_columns(pages: DataFrame, most: int) -> tuple[DataFrame, list[str]]:
+    """(page_id, detail_1 .. detail_most, rest) and the labels of the columns.
+
+    The columns are declared from the data: a grouped count names the most
+    frequent labels, all other pairs stay in the map ``rest``, so every pair of
+    a page is in its row."""
+    details = with_details(pages)
+    labels = frequent_labels(details.select(F.inline_outer("details")).where(F.col("label").isNotNull()), most)
+    m = details.select("page_id", F.map_from_entries("details").alias("m"))
+    own = F.array(*[F.lit(x) for x in labels]) if labels else F.array().cast("array<string>")
+    cols = [F.try_element_at("m", F.lit(labels[k])) if k < len(labels) else F.lit(None).cast("string") for k in range(most)]
+    rest = F.map_filter("m", lambda key, _: ~F.array_contains(own, key))
+    return m.select("page_id", *[c.alias(f"detail_{k + 1}") for k, c in enumerate(cols)], rest.alias("rest")), labels
+
+
 def merged(left: Column, right: Column) -> Column:
     """Two maps as one; where both have a key, the right one's value wins (null too)."""
     return F.map_zip_with(left, right, lambda k, a, b: F.when(F.map_contains_key(right, k), b).otherwise(a))

@@ -41,11 +41,17 @@ def string_indexer(columns: list[str] | tuple[str, ...], suffix: str = "_indexed
 
 # Partitions over which the null rows of a join are spread.
 NULL_SPREAD = 1024
+# A column's label table is broadcast only if its labels, counted at the fit, stay under so many bytes.
+BROADCAST_LABELS = 32 << 20
 
 
 @dataclass
 class FrequencyIndex:
-    """Fitted indices: ``labels`` has (column, label, idx), ``sizes`` the labels per column.
+    """Fitted indices: ``labels`` has (column, label, idx), ``sizes`` the number of
+    labels and ``weights`` their bytes per column.
+
+    Columns whose labels are few (by ``weights``) are looked up without moving
+    a row; only the others cost a shuffle join each.
 
     ``transform`` works on any later batch.  ``handle_invalid`` treats nulls and
     labels that were not seen at the fit alike: ``keep`` gives them index =
@@ -54,6 +60,7 @@ class FrequencyIndex:
 
     labels: DataFrame
     sizes: dict[str, int]
+    weights: dict[str, int]
     suffix: str
     handle_invalid: str
 
@@ -68,11 +75,14 @@ class FrequencyIndex:
     def _joined(self, df: DataFrame, col: str, out_col: str) -> DataFrame:
         table = self.labels.where(F.col("column") == col).select(
             F.col("label").alias("_label"), F.col("idx").alias("_idx"), F.lit(None).cast("bigint").alias("_none"))
-        # Nulls match nothing; a second key deals them out instead of hashing
-        # them all to one partition.
-        spread = F.pmod(F.xxhash64(*[c for c in df.columns if c != col], F.spark_partition_id()), F.lit(NULL_SPREAD))
-        rows = df.withColumn("_null", F.when(F.col(col).isNull(), spread))
-        rows = rows.join(table, (F.col(col).cast("string") == F.col("_label")) & F.col("_null").eqNullSafe(F.col("_none")), "left")
+        if self.weights[col] <= BROADCAST_LABELS:
+            rows = df.join(F.broadcast(table.drop("_none")), F.col(col).cast("string") == F.col("_label"), "left")
+        else:
+            # Nulls match nothing; a second key deals them out instead of hashing
+            # them all to one partition.
+            spread = F.pmod(F.xxhash64(*[c for c in df.columns if c != col], F.spark_partition_id()), F.lit(NULL_SPREAD))
+            rows = df.withColumn("_null", F.when(F.col(col).isNull(), spread))
+            rows = rows.join(table, (F.col(col).cast("string") == F.col("_label")) & F.col("_null").eqNullSafe(F.col("_none")), "left")
         if self.handle_invalid == "skip":
             rows = rows.where(F.col("_idx").isNotNull())
             other = F.lit(None).cast("double")
@@ -86,7 +96,7 @@ class FrequencyIndex:
         """The labels as Parquet (partitioned by column), the rest as one JSON row."""
         spark = self.labels.sparkSession
         self.labels.write.mode("overwrite").partitionBy("column").parquet(f"{path}/labels")
-        head = json.dumps({"sizes": self.sizes, "suffix": self.suffix, "handle_invalid": self.handle_invalid})
+        head = json.dumps({"sizes": self.sizes, "weights": self.weights, "suffix": self.suffix, "handle_invalid": self.handle_invalid})
         spark.createDataFrame([(head,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/head")
 
     @staticmethod
@@ -118,19 +128,20 @@ def fit_index(df: DataFrame, columns: list[str] | tuple[str, ...], suffix: str =
     ranged = stage(counts.repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
                    .select("c", "label", F.spark_partition_id().alias("pid"), F.monotonically_increasing_id().alias("mid")), "index-order")
     # <= n_parts + columns rows: a column's labels fill a contiguous run of partitions
-    cells_of = (ranged.groupBy("pid", "c").agg(F.count("label").alias("n"), F.min("mid").alias("first"),
+    cells_of = (ranged.groupBy("pid", "c").agg(F.count("label").alias("n"), F.min("mid").alias("first"), F.sum(F.octet_length("label") + 16).alias("bytes"),
                                                F.count_if(F.col("label").isNull()).alias("nulls")).collect())
-    sizes = {c: 0 for c in cols}
+    sizes, weights = {c: 0 for c in cols}, {c: 0 for c in cols}
     offsets = []
     for row in sorted(cells_of, key=lambda r: (r["c"], r["pid"])):
         if handle_invalid == "error" and row["nulls"]:
             raise ValueError(f"column {cols[row['c']]!r} has null values (handle_invalid='error')")
         offsets.append((row["pid"], row["c"], cols[row["c"]], sizes[cols[row["c"]]] - row["first"]))
         sizes[cols[row["c"]]] += row["n"]
+        weights[cols[row["c"]]] += row["bytes"] or 0
     at = spark.createDataFrame(offsets, "pid int, c int, column string, shift bigint")
     labels = ranged.where(F.col("label").isNotNull()).join(F.broadcast(at), ["pid", "c"]).select(  # <= n_parts + columns rows
         "column", "label", (F.col("mid") + F.col("shift")).cast("double").alias("idx"))
-    return FrequencyIndex(stage(labels, "index-labels"), sizes, suffix, handle_invalid)
+    return FrequencyIndex(labels, sizes, weights, suffix, handle_invalid)
 
 
 def frequency_index(df: DataFrame, col: str, out_col: str | None = None,

@@ -7,11 +7,12 @@ behind each chart are computed in Spark and come back as small DataFrames
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hearth.functions.parse import unparseable
+from hearth.session import stage_observed
 from hearth.operators.quantiles import approx_quantiles, cached_values, exact_quantiles
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
@@ -58,6 +59,40 @@ def missing_profile(df: DataFrame, parsed: dict | None = None) -> DataFrame:
     return df.agg(F.array(*aggs).alias("a")).select(F.inline("a"))
 
 
+def profile_while_staging(df: DataFrame, name: str, numeric: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """``df`` staged, and its profile collected by that write: one row per column
+    with (column, n_rows, missing_count, count, mean, stddev, min, max); the
+    last five for ``numeric`` columns only.
+
+    What leaves the executors is one row of aggregates per task."""
+    cols = df.columns
+    numeric = [c for c in (numeric or []) if c in cols]
+    metrics = {"rows": F.count(F.lit(1))}
+    for k, c in enumerate(cols):
+        metrics[f"missing{k}"] = F.count_if(F.col(f"`{c}`").isNull())
+        if c in numeric:
+            x = F.col(f"`{c}`").cast("double")
+            metrics |= {f"count{k}": F.count(x), f"mean{k}": F.avg(x), f"stddev{k}": F.stddev_samp(x), f"min{k}": F.min(x), f"max{k}": F.max(x)}
+    staged, seen = stage_observed(df, name, metrics)
+    rows = [(c, seen["rows"], seen[f"missing{k}"], *(seen.get(f"{m}{k}") for m in ("count", "mean", "stddev", "min", "max"))) for k, c in enumerate(cols)]
+    schema = "column string, n_rows bigint, missing_count bigint, count bigint, mean double, stddev double, min double, max double"
+    return staged, df.sparkSession.createDataFrame(rows, schema)
+
+
+def bottom_k(df: DataFrame, key: Column, k: int, strata: list[str]) -> DataFrame:
+    """A repeatable sample: the ``k`` rows of each stratum with the smallest
+    md5 of ``key`` (all, if fewer).
+
+    The same rows under any partitioning, and mergeable: the bottom k of the
+    bottom k of parts.  Each task drops all but its own k per stratum before the
+    shuffle.  Rows of equal keys are ordered by all their columns."""
+    names = df.columns
+    order = [F.col("_md5"), *[F.col(f"`{c}`") for c in names]]
+    ranked = df.withColumn("_md5", F.md5(key.cast("string")))
+    ranked = ranked.withColumn("_at", F.row_number().over(Window.partitionBy(*strata).orderBy(*order)))
+    return ranked.where(F.col("_at") <= k).select(*[F.col(f"`{c}`") for c in names])
+
+
 def row_count_sql(df: DataFrame, view: str = "listings") -> DataFrame:
     """Register ``df`` as a view and count it with SQL (one row: n_rows)."""
     df.createOrReplaceTempView(view)
@@ -136,35 +171,39 @@ def central_tendency(df: DataFrame, col: str, exact: bool = True,
     return one.select(*[F.round(c, digits).alias(c) for c in ("mean", "median", "mode")])
 
 
+def _finite(col: str) -> Column:
+    x = F.col(col)
+    return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
+
+
+def _bin_of(col: str, lo: float, hi: float, bins: int) -> Column:
+    """1..bins for the finite values between ``lo`` and ``hi``, else null.  Halves
+    keep the width of an extreme range finite."""
+    at = (_finite(col) / 2 - F.lit(lo / 2)) / F.lit(hi / 2 - lo / 2) * F.lit(bins)
+    return F.when(_finite(col).isNotNull(), F.least(F.floor(at), F.lit(bins - 1)) + 1).cast("int")  # least() skips nulls
+
+
 def histogram(df: DataFrame, col: str, bins: int = 50, digits: int = 6, persist: bool = True) -> DataFrame:
     """Equal-width histogram (bin, bin_lower, bin_upper, n), empty bins included.
 
     Bins are numpy-style: ``bins`` equal widths between min and max, the
     last one closed on the right.  The range is one aggregate (two numbers
     to the driver), the counts one group-by with at most ``bins`` groups.
+    Nulls, NaN and infinities are in no bin.
     ``persist=False`` for a stored column, which is cheaper to scan twice.
     """
     spark = df.sparkSession
-    axis = spark.range(1, bins + 1).select(F.col("id").cast("int").alias("bin"))
     with cached_values(df, col, persist) as x:
-        st = x.agg(F.min("x").alias("mn"), F.max("x").alias("mx")).first()
-        if st["mn"] is None:
-            return axis.select("bin", F.lit(None).cast("double").alias("bin_lower"),
-                               F.lit(None).cast("double").alias("bin_upper"),
-                               F.lit(0).cast("bigint").alias("n"))
-        mn, mx = float(st["mn"]), float(st["mx"])
-        if mx == mn:
-            mn, mx = mn - 0.5, mx + 0.5
-        b = (F.least(F.floor((F.col("x") - F.lit(mn)) / F.lit(mx - mn) * F.lit(bins)), F.lit(bins - 1)) + 1).cast("int")
-        # Null values fall in a null bin that the join with the axis drops.
-        rows = x.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()  # <= bins + 1 rows
-    counts = spark.createDataFrame(rows, "bin int, n bigint")
-    width = (mx - mn) / bins
-    return (axis.join(counts, "bin", "left")
-                .select("bin",
-                        F.round(F.lit(mn) + (F.col("bin") - 1) * F.lit(width), digits).alias("bin_lower"),
-                        F.round(F.lit(mn) + F.col("bin") * F.lit(width), digits).alias("bin_upper"),
-                        F.coalesce("n", F.lit(0).cast("bigint")).alias("n")))
+        st = x.agg(F.min(_finite("x")).alias("mn"), F.max(_finite("x")).alias("mx")).first()
+        mn, mx = st["mn"], st["mx"]
+        n: dict[int, int] = {}
+        if mn is not None:
+            mn, mx = (mn - 0.5, mx + 0.5) if mx == mn else (mn, mx)
+            # at most bins + 1 rows; null is the bin of everything that is in none
+            n = {r["bin"]: r["n"] for r in x.groupBy(_bin_of("x", mn, mx, bins).alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    edge = lambda k: None if mn is None else round(mn + k * (mx / bins - mn / bins), digits)
+    rows = [(b, edge(b - 1), edge(b), n.get(b, 0)) for b in range(1, bins + 1)]
+    return spark.createDataFrame(rows, "bin int, bin_lower double, bin_upper double, n bigint").coalesce(1)
 
 
 def boxplot_stats(df: DataFrame, col: str, label: str = "all", digits: int = 4,
@@ -214,12 +253,13 @@ def boxplot_with_and_without_outliers(df: DataFrame, col: str, digits: int = 4)
 def binned_pairs(df: DataFrame, x: str, y: str, bins: int = 20) -> DataFrame:
     """2-D equal-width bins of (x, y) with counts: the data behind an
     actual-vs-predicted scatter, bounded by ``bins * bins`` rows however
-    many points there are.  Rows with a null in either column are dropped."""
+    many points there are.  Rows with a null, NaN or infinity in either column
+    are dropped."""
     spark, schema = df.sparkSession, "x_bin int, y_bin int, n bigint"
     pairs = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).persist()
     try:
-        st = pairs.agg(F.min("x").alias("x0"), F.max("x").alias("x1"),
-                       F.min("y").alias("y0"), F.max("y").alias("y1")).first()
+        st = pairs.agg(F.min(_finite("x")).alias("x0"), F.max(_finite("x")).alias("x1"),
+                       F.min(_finite("y")).alias("y0"), F.max(_finite("y")).alias("y1")).first()
         if st["x0"] is None or st["y0"] is None:
             return spark.createDataFrame([], schema)
 
@@ -227,7 +267,7 @@ def binned_pairs(df: DataFrame, x: str, y: str, bins: int = 20) -> DataFrame:
             lo, hi = float(lo), float(hi)
             if hi == lo:
                 lo, hi = lo - 0.5, hi + 0.5
-            return (F.least(F.floor((F.col(c) - F.lit(lo)) / F.lit(hi - lo) * F.lit(bins)), F.lit(bins - 1)) + 1).cast("int")
+            return _bin_of(c, lo, hi, bins)
 
         b = pairs.select(bin_of("x", st["x0"], st["x1"]).alias("x_bin"), bin_of("y", st["y0"], st["y1"]).alias("y_bin"))
         rows = b.groupBy("x_bin", "y_bin").agg(F.count(F.lit(1)).alias("n")).collect()  # <= (bins + 1) ** 2 rows

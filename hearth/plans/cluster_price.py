@@ -16,12 +16,13 @@ the assembled frame is persisted once, and each k is fitted once.
 from __future__ import annotations
 
 from pyspark import StorageLevel
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import OneHotEncoder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearth.functions.flags import ELEVATOR_YES, NEW_CONSTRUCTION_YES, equals_flag
-from hearth.functions.parse import ceiling_height, parse_int, price_usd
 from hearth.operators import features, models, outliers, profile
+from hearth.operators.stages import ClusterColumns, Doubles, FrequencyIndexer, cluster_columns
 from hearth.session import stage
 
 CATEGORIES_B = ("province", "address", "construction_type", "balcony", "furniture", "renovation")
@@ -43,15 +44,7 @@ def typed_rows(raw: DataFrame, as_written: bool = False) -> DataFrame:
     mode = "as_written" if as_written else "intended"
     base = profile.dedup_rows(raw)
     whole = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in base.columns]))
-    df = base.withColumns({
-        "bucket": features.hash_bucket(whole),
-        "price": price_usd("price", mode),
-        "new_construction": equals_flag("new_construction", NEW_CONSTRUCTION_YES),
-        "elevator": equals_flag("elevator", ELEVATOR_YES),
-        "ceiling_height": ceiling_height("ceiling_height", mode),
-        "rooms_int": parse_int("rooms"),
-        "bathrooms_int": parse_int("bathrooms"),
-    })
+    df = base.withColumns({"bucket": features.hash_bucket(whole), **cluster_columns(mode)})
     keep = [c for c in FEATURES_B if not c.endswith("_index")] + [*CATEGORIES_B, "bucket"]
     return stage(df.select(*keep), "cluster-rows")
 
@@ -138,3 +131,32 @@ def _run(spark, raw, as_written, sweep, k_values, final_k, quartile_error, cols,
     for r in models.training_summary(spark, lr_model, with_cluster).collect():
         rows.append(("regression_summary", "train", final_k, r["metric"], r["value"]))
     return spark.createDataFrame(rows, "step string, split string, k int, metric string, value double")
+
+
+def regression_stages(cols: list[str], one_hot: bool, label: str = "price") -> list:
+    """Cluster as a regressor beside ``cols``: its number, or one 0/1 column for
+    each cluster but the last (sparse), and the regression."""
+    encoder = [OneHotEncoder(inputCol="cluster", outputCol="cluster_flags", dropLast=True)] if one_hot else []
+    last = "cluster_flags" if one_hot else "cluster"
+    return [*encoder, features.assembler([*cols, last], "features_with_cluster", "error"),
+            models.linear_regression("features_with_cluster", label, solver="normal" if one_hot else "auto")]
+
+
+def fit(raw: DataFrame, k: int = models.KMEANS_FINAL_K, one_hot: bool = True,
+        quartile_error: float | None = outliers.QUARTILE_ERROR) -> PipelineModel:
+    """The whole of workflow B as one model: raw listings -> typed columns ->
+    indices -> cluster -> price.  Fitted on the training rows inside the cut; it
+    can be saved, loaded and applied to batches and streams."""
+    rows = outliers.remove_outliers(typed_rows(raw), "price", quartile_error)
+    train = rows.where(F.col("bucket") < TRAIN_PCT)
+    cols = feature_list()
+    first = features.pipeline(
+        FrequencyIndexer(inputCols=list(CATEGORIES_B), handleInvalid="keep"), Doubles(inputCols=cols, fill=True),
+        features.assembler(cols, "feature", "error")).fit(train)
+    # every k-means iteration and the regression read the assembled rows
+    data = first.transform(train).select("feature", "price", *cols).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        last = features.pipeline(models.kmeans(k, "feature", "cluster"), *regression_stages(cols, one_hot)).fit(data)
+    finally:
+        data.unpersist()
+    return PipelineModel([ClusterColumns("intended"), *first.stages, *last.stages])

@@ -18,10 +18,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearth.operators import clean, features, models, outliers, profile
+from hearth.operators.stages import Doubles, TypedListings
 
 CATEGORICAL_A = ("province", "construction_type", "balcony", "furniture")
 
@@ -31,7 +33,7 @@ class RidgeResult:
     metrics: DataFrame          # (split, n, mae, mse, rmse, r2)
     best_reg_param: float
     cv_metrics: list[float]     # mean CV metric per grid point
-    model: object               # fitted PipelineModel (features) + best regression
+    model: PipelineModel        # raw listings -> typed columns, features, prediction; can be saved
     predictions: DataFrame      # test rows with price, prediction
 
 
@@ -96,8 +98,9 @@ def run(raw: DataFrame, as_written: bool = False, elastic_net: float | None = No
         # One row: materialise it so the cached inputs can be released.
         metrics = spark.createDataFrame(m.collect(), m.schema)
         best_reg = float(best.getOrDefault("regParam"))
-        return RidgeResult(metrics, best_reg, [float(v) for v in cv_model.avgMetrics],
-                           (feat_model, best), preds)
+        mode = "as_written" if as_written else "intended"
+        whole = PipelineModel([TypedListings(mode), Doubles(inputCols=list(clean.NUMERIC_FEATURES_A)), *feat_model.stages, best])
+        return RidgeResult(metrics, best_reg, [float(v) for v in cv_model.avgMetrics], whole, preds)
     finally:
         for c in cached:
             c.unpersist()

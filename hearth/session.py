@@ -13,7 +13,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
@@ -81,6 +81,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stage_observed(df: DataFrame, name: str, metrics: dict[str, Column]) -> tuple[DataFrame, dict]:
+    """``stage``, and aggregates of the rows that the same write collects on its
+    way: no second scan and no second job for figures that the rows pass by."""
+    seen = Observation(f"{name}-{uuid.uuid4().hex[:8]}")
+    staged = stage(df.observe(seen, *[m.alias(k) for k, m in metrics.items()]), name)
+    return staged, dict(seen.get)
+
+
 def drop_stages(spark: SparkSession) -> None:
     """Remove every intermediate table of this library from the shared folder
     (for the end of a job, when no result needs them any more)."""
