@@ -2,8 +2,9 @@
 
 For every benchmark item, every item-sized window of a text that shares a
 shingle with an item of that size gets a 128-bit SimHash of its weighted
-shingles (a window that shares none has similarity 0).  The fingerprints are
-cut into 16 blocks of 8 bits: two fingerprints within 47 bits agree within 2
+shingles (a window that shares none has similarity 0).  Each occurrence of a
+repeated shingle counts as a feature of its own, so that the fingerprints of
+two windows of similarity 0.8 are near whatever their counts.  They are cut into 16 blocks of 8 bits: two fingerprints within 47 bits agree within 2
 bits in one block at least, so looking up each block's neighbours finds all
 items within the radius.  Candidates are settled by their exact weighted
 Jaccard similarity over shingle counts.
@@ -13,8 +14,10 @@ than six standard deviations above.  The benchmark is a stated query set: it
 goes to the tasks in blocks of at most ``block_bytes`` of text, one pass over
 the documents per block, so what is broadcast has a fixed bound.
 
-Defined results: null and empty texts and items match nothing, nor do items of
-fewer than five words; a text shorter than an item is one window; of equally
+Defined results: null and empty texts and items match nothing; an item of one
+to four words is one shingle of its own length and is found wherever a text
+has these words in a row (raise ``least_words`` where a benchmark has answers
+that any text may hold); a text shorter than an item is one window; of equally
 similar windows the first is reported; repeated rows and items each get their
 rows; empty tables give an empty result; other columns pass through untouched.
 """
@@ -44,6 +47,8 @@ RUN = 1 << 15
 class LeakRules:
     similarity: float = 0.8
     block_bytes: int = 8 << 20
+    #: Items with fewer words are left out.
+    least_words: int = 1
 
 
 def _bits(shingles: np.ndarray) -> np.ndarray:
@@ -53,11 +58,58 @@ def _bits(shingles: np.ndarray) -> np.ndarray:
     return raw.astype(np.float64) * 2 - 1
 
 
+def _features(h: np.ndarray, occurrence: np.ndarray) -> np.ndarray:
+    """A shingle's n-th occurrence (from 0) as a shingle of its own; the first is the shingle itself."""
+    return np.where(occurrence > 0, A.mix(h + occurrence.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), h)
+
+
+def _occurrences(h: np.ndarray) -> np.ndarray:
+    """How many equal values stand before each."""
+    order = np.argsort(h, kind="stable")
+    first = np.flatnonzero(np.diff(h[order], prepend=~h[order[:1]]))
+    out = np.empty(len(h), np.int64)
+    out[order] = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))
+    return out
+
+
+def window_sums(h: np.ndarray, w: np.ndarray, size: int) -> np.ndarray:
+    """Weighted bit sums of every window of ``size`` shingles."""
+    if len(np.unique(h)) == len(h):
+        sums = np.zeros((len(h) + 1, BITS))
+        np.cumsum(_bits(h) * w[:, None], axis=0, out=sums[1:])
+        return sums[size:] - sums[:-size]
+    # a shingle that comes in is its window's next occurrence, one that goes was the last
+    held: dict[int, int] = {}
+    at, number, sign, window = [], [], [], []
+    for k, x in enumerate(h.tolist()):
+        if k >= size:
+            old = int(h[k - size])
+            held[old] -= 1
+            at.append(k - size)
+            number.append(held[old])
+            sign.append(-1.0)
+            window.append(k - size + 1)
+        at.append(k)
+        number.append(held.get(x, 0))
+        sign.append(1.0)
+        window.append(max(0, k - size + 1))
+        held[x] = held.get(x, 0) + 1
+    at = np.array(at)
+    step = _bits(_features(h[at], np.array(number))) * (w[at] * np.array(sign))[:, None]
+    total = np.cumsum(step, axis=0)
+    return total[np.searchsorted(window, np.arange(len(h) - size + 1), "right") - 1]
+
+
 def weight(sizes: np.ndarray) -> np.ndarray:
     """Weight of a shingle by the bytes of its words."""
     return 1 + np.log(np.maximum(sizes, 1))
 
 
+def short_shingles(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the n words from each word on, for n below a shingle's length."""
+    return A.mix(A.grams(hashes, n) + np.uint64(n))
+
+
 @dataclass
 class Item:
     item_id: int | None
@@ -72,25 +124,33 @@ class Item:
 class ItemIndex:
     """Items of one block, by their length in words."""
 
-    def __init__(self, ids: list, texts: list) -> None:
+    def __init__(self, ids: list, texts: list, least_words: int = 1) -> None:
         self.items: list[Item] = []
         batch = pa.RecordBatch.from_arrays([pa.array(range(len(ids)), pa.int64()), pa.array(texts, pa.string())], names=["k", "t"])
         for w in words(iter([batch]), "t"):
             for d, k in enumerate(w.rows.column("k").to_pylist()):
                 span = slice(w.first[d], w.first[d + 1])
                 n = w.first[d + 1] - w.first[d]
-                if n >= SHINGLE:
+                if n < least_words:
+                    continue
+                if 0 < n < SHINGLE:
+                    self.items.append(Item(ids[k], int(n), short_shingles(w.hashes[span], int(n)), np.ones(1, np.int64), np.ones(1), 1.0, np.zeros(16, np.uint8)))
+                elif n >= SHINGLE:
                     h = A.grams(w.hashes[span], SHINGLE)
                     size = np.convolve(w.sizes[span], np.ones(SHINGLE, np.int64), "valid")
                     uniq, at, counts = np.unique(h, return_index=True, return_counts=True)
                     own = weight(size)
-                    mark = np.packbits((_bits(h) * own[:, None]).sum(axis=0) > 1e-9)
+                    mark = np.packbits((_bits(_features(h, _occurrences(h))) * own[:, None]).sum(axis=0) > 1e-9)
                     self.items.append(Item(ids[k], int(n), uniq, counts, own[at], float((own[at] * counts).sum()), mark))
-        pairs = sorted((int(h), k) for k, item in enumerate(self.items) for h in item.shingles)
+        self.short: dict[int, dict[int, list[int]]] = {}  # words -> shingle -> items
+        for k, item in enumerate(self.items):
+            if item.n_words < SHINGLE:
+                self.short.setdefault(item.n_words, {}).setdefault(int(item.shingles[0]), []).append(k)
+        pairs = sorted((int(h), k) for k, item in enumerate(self.items) if item.n_words >= SHINGLE for h in item.shingles)
         self.shingles = np.array([h for h, _ in pairs], np.uint64)
         self.owners = np.array([k for _, k in pairs], np.int64)
         self.lengths = np.array([item.n_words for item in self.items], np.int64)
-        self.by_length = {int(n): np.flatnonzero(self.lengths == n) for n in np.unique(self.lengths)}
+        self.by_length = {int(n): np.flatnonzero(self.lengths == n) for n in np.unique(self.lengths) if n >= SHINGLE}
         marks = np.array([item.print_ for item in self.items], np.uint8).reshape(len(self.items), BLOCKS)
         self.marks = marks
         near = np.unpackbits((np.arange(256)[:, None] ^ np.arange(256)[None, :]).astype(np.uint8)[..., None], axis=2).sum(axis=2) <= NEAR
@@ -130,9 +190,7 @@ def _leaks_of(h: np.ndarray, w: np.ndarray, index: ItemIndex, least: float) -> l
             for k in range(0, len(part), RUN):
                 run = part[k: k + RUN]
                 a, b = run[0], run[-1] + size
-                sums = np.zeros((b - a + 1, BITS))
-                np.cumsum(_bits(h[a:b]) * w[a:b, None], axis=0, out=sums[1:])
-                prints = np.packbits(sums[size:] - sums[:-size] > 1e-9, axis=1)
+                prints = np.packbits(window_sums(h[a:b], w[a:b], size) > 1e-9, axis=1)
                 for window, k2 in zip(*index.within(prints, int(n)), strict=True):
                     s, item = int(a + window), index.items[k2]
                     sim = similarity(h[s: s + size], w[s: s + size], item)
@@ -154,18 +212,28 @@ def similarity(h: np.ndarray, w: np.ndarray, item: Item) -> float:
 def leaks_in(batch: Words, index: ItemIndex, least: float) -> dict[int, list[tuple[int, float, int, int]]]:
     """Leaks of each document of the batch that has any."""
     out: dict[int, list[tuple[int, float, int, int]]] = {}
-    if not len(index.shingles) or len(batch.hashes) < SHINGLE:
-        return out
-    h = A.grams(batch.hashes, SHINGLE)
-    at = np.minimum(np.searchsorted(index.shingles, h), len(index.shingles) - 1)
-    hits = np.flatnonzero(index.shingles[at] == h)
-    docs = np.searchsorted(batch.first, hits, "right") - 1
-    docs = np.unique(docs[hits + SHINGLE <= batch.first[docs + 1]])
-    for d in docs:
-        a, b = batch.first[d], batch.first[d + 1]
-        size = np.convolve(batch.sizes[a:b], np.ones(SHINGLE, np.int64), "valid")
-        if found := _leaks_of(h[a: b - SHINGLE + 1], weight(size), index, least):
-            out[int(d)] = found
+    if len(index.shingles) and len(batch.hashes) >= SHINGLE:
+        h = A.grams(batch.hashes, SHINGLE)
+        at = np.minimum(np.searchsorted(index.shingles, h), len(index.shingles) - 1)
+        hits = np.flatnonzero(index.shingles[at] == h)
+        docs = np.searchsorted(batch.first, hits, "right") - 1
+        docs = np.unique(docs[hits + SHINGLE <= batch.first[docs + 1]])
+        for d in docs:
+            a, b = batch.first[d], batch.first[d + 1]
+            size = np.convolve(batch.sizes[a:b], np.ones(SHINGLE, np.int64), "valid")
+            if found := _leaks_of(h[a: b - SHINGLE + 1], weight(size), index, least):
+                out[int(d)] = found
+    for n, items in index.short.items():
+        h = short_shingles(batch.hashes, n)
+        hits = np.flatnonzero(np.isin(h, np.array(list(items), np.uint64)))
+        docs = np.searchsorted(batch.first, hits, "right") - 1
+        inside = hits + n <= batch.first[docs + 1]
+        seen: set[tuple[int, int]] = set()
+        for p, d in zip(hits[inside].tolist(), docs[inside].tolist(), strict=True):
+            for k in items[int(h[p])]:
+                if (d, k) not in seen:
+                    seen.add((d, k))
+                    out.setdefault(d, []).append((k, 1.0, p - int(batch.first[d]), n))
     return out
 
 
@@ -184,7 +252,7 @@ def _mapped(docs: DataFrame, text_col: str, block: tuple[list, list], schema: T.
     sent = docs.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = ItemIndex(*sent.value)
+        index = ItemIndex(*sent.value, rules.least_words)
         for w in words(batches, text_col):
             yield out(w, index, leaks_in(w, index, rules.similarity))
 

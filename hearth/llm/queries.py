@@ -113,8 +113,13 @@ o AS (SELECT h.row, h.item, h.size, h.s, g.gram, count(*) AS c FROM h JOIN g ON
 m AS (SELECT o.row, o.item, o.size, o.s, sum(o.c * (1 + ln(list_sum(list_transform(o.gram, lambda w: strlen(w)))))) AS own,
              sum(coalesce(qc.w * least(o.c, qc.c), 0)) AS both_ FROM o LEFT JOIN qc ON qc.item = o.item AND qc.gram = o.gram GROUP BY ALL),
 v AS (SELECT m.*, both_ / (own + total - both_) AS sim FROM m JOIN qt USING (item)),
-b AS (SELECT * FROM v WHERE sim >= {_LEAKS.similarity} QUALIFY row_number() OVER (PARTITION BY row, item ORDER BY round(sim, 9) DESC, s) = 1)
-SELECT doc_id, item_id, round(sim, 6) AS similarity, s AS first_word, size + 4 AS n_words FROM b JOIN d USING (row) JOIN i USING (item)""")
+b AS (SELECT * FROM v WHERE sim >= {_LEAKS.similarity} QUALIFY row_number() OVER (PARTITION BY row, item ORDER BY round(sim, 9) DESC, s) = 1),
+si AS (SELECT item, ws, len(ws) AS n FROM i WHERE len(ws) BETWEEN {_LEAKS.least_words} AND 4),
+sn AS (SELECT DISTINCT n FROM si),
+sg AS (SELECT row, n, unnest(list_transform(range(len(ws) - n + 1), lambda k: ws[k+1:k+n])) AS gram, unnest(range(len(ws) - n + 1)) AS s FROM d JOIN sn ON len(ws) >= n),
+sb AS (SELECT row, item, min(s) AS s, sg.n FROM sg JOIN si ON si.n = sg.n AND si.ws = gram GROUP BY ALL),
+o2 AS (SELECT row, item, sim, s, size + 4 AS n FROM b UNION ALL SELECT row, item, 1.0, s, n FROM sb)
+SELECT doc_id, item_id, round(sim, 6) AS similarity, s AS first_word, n AS n_words FROM o2 JOIN d USING (row) JOIN i USING (item)""")
 def op4_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark passage in the documents: (doc_id, item_id) and where it lies."""
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])

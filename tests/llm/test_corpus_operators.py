@@ -8,12 +8,13 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from hearth.llm import chat, decontam, jaccard, lines, packing, quality, suffix, warc
+from hearth.llm import _shingles, chat, decontam, jaccard, lines, packing, quality, suffix, warc
 
 SF = "/root/testdata/sf0.001"
 TOKEN = r"[A-Za-z0-9]+|[^A-Za-z0-9\x20\x09-\x0D]"
@@ -120,6 +121,10 @@ def brute_leaks(docs, items, least=0.8):
     out = {}
     for (d, t), (i, q) in itertools.product(docs, items):
         w, v = words_of(t), words_of(q)
+        if 0 < len(v) < 5:  # one shingle of its own length
+            at = [s for s in range(len(w) - len(v) + 1) if w[s:s + len(v)] == v]
+            if at:
+                out[d, i] = (1.0, at[0], len(v))
         if len(v) < 5 or len(w) < 5:
             continue
         size = min(len(v), len(w))
@@ -135,13 +140,16 @@ def brute_leaks(docs, items, least=0.8):
 
 def test_leaks_equal_brute_force(spark):
     rng = np.random.default_rng(2)
-    items = [(k, text_of(rng, int(rng.integers(12, 40)))) for k in range(12)] + [(50, "too short here"), (51, None), (52, ""), (53, "ba ba ba ba ba ba ba ba")]
+    items_of_four = text_of(rng, 4)
+    items = [(k, text_of(rng, int(rng.integers(12, 40)))) for k in range(12)] + [(50, "too short here"), (51, None), (52, ""), (53, "ba ba ba ba ba ba ba ba"),
+                                                                                   (55, "Yes!"), (56, "zu zu"), (57, items_of_four)]
     items.append((54, items[0][1]))
     docs = [(k, text_of(rng, 80)) for k in range(20)]
     for k, (_, q) in enumerate(items[:12]):
         docs.append((100 + k, f"{text_of(rng, 30)}. {q.upper()}! {text_of(rng, 10)}"))
         docs.append((200 + k, f"{text_of(rng, 7)} {edited(rng, q, 1)} {text_of(rng, 9)}"))
         docs.append((300 + k, " ".join(q.split()[:-2])))
+    docs += [(500, f"{text_of(rng, 9)} yes {items_of_four}, yes"), (501, items_of_four), (502, "zu zu zu"), (503, "zu"), (504, "yes")]
     docs += [(400, None), (401, ""), (402, items[1][1] + " " + items[1][1]), (402, items[1][1]), (403, "ba " * 400), (404, text_of(rng, 30_000) + " " + items[2][1])]
     frame = spark.createDataFrame([(*d, 1) for d in docs], "doc_id long, text string, item_id int")
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -158,6 +166,32 @@ def test_leaks_equal_brute_force(spark):
     assert decontam.leaks(frame.limit(0), bench).count() == 0 and decontam.leaks(frame, bench.limit(0)).count() == 0
 
 
+def test_repeated_shingles_are_within_the_radius():
+    """One shingle many times on either side: similar enough, so the fingerprints must be near."""
+    rng = np.random.default_rng(6)
+    for _ in range(40):
+        both = list(rng.choice(WORDS, 170))
+        a, b = both + ["foo"] * 16, both + ["bar"] * 16
+        index = decontam.ItemIndex([1], [" ".join(a)])
+        sim = brute_leaks([(0, " ".join(b))], [(1, " ".join(a))])[0, 1][0]
+        assert sim >= 0.8
+        batch = pa.RecordBatch.from_arrays([pa.array([" ".join(["lead"] * 3 + b + ["tail"] * 9)])], names=["t"])
+        found = decontam.leaks_in(next(_shingles.words(iter([batch]), "t")), index, 0.8)
+        assert [x[0] for x in found[0]] == [0] and found[0][0][1] >= sim - 1e-9
+
+
+def test_window_sums_count_occurrences():
+    rng = np.random.default_rng(7)
+    h, w = rng.integers(0, 6, 60).astype(np.uint64), rng.random(60)
+    w = w[h.astype(int)]  # equal shingles weigh the same
+    for size in (1, 4, 17, 60):
+        got = decontam.window_sums(h, w, size)
+        for s in range(60 - size + 1):
+            x = h[s: s + size]
+            want = (decontam._bits(decontam._features(x, decontam._occurrences(x))) * w[s: s + size, None]).sum(axis=0)
+            assert np.allclose(got[s], want)
+
+
 def test_blocks_find_all_fingerprints_within_the_radius():
     rng = np.random.default_rng(4)
     index = decontam.ItemIndex([1], [text_of(rng, 20)])
