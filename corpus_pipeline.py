@@ -7,10 +7,13 @@ Parquet and read again as the next stage's input.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from hearth.llm import decontam, jaccard, lines, packing, quality
 from hearth.llm._store import materialise
+from hearth.llm.queries import ORACLE
 from hearth.sources.tables import read_table
 
 
@@ -47,8 +50,23 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: Links and groups of near-duplicates are no plain SQL; tests/llm holds the pipeline against brute force.
-ORACLE_SQL = None
+
+def _oracle_sql() -> str:
+    """The stages' SQL twins, each reading its predecessor's rows (ids are unique)."""
+
+    def twin(name: str, table: str) -> str:
+        return "(" + re.sub(r"\bdocuments\b", table, ORACLE[name]) + ")"
+
+    return f"""
+WITH rules AS MATERIALIZED (SELECT doc_id, source, text FROM documents JOIN {twin("op3_host_quality", "documents")} r USING (doc_id) WHERE kept),
+cut AS MATERIALIZED (SELECT doc_id, source, text FROM {twin("op5_site_lines", "rules")} x),
+single AS MATERIALIZED (SELECT doc_id, text FROM cut JOIN {twin("op7_jaccard_join", "cut")} j USING (doc_id) WHERE class_id = doc_id),
+leaky AS MATERIALIZED (SELECT DISTINCT doc_id FROM {twin("op4_simhash_decontamination", "single")} l),
+clean AS MATERIALIZED (SELECT * FROM single WHERE doc_id NOT IN (SELECT doc_id FROM leaky))
+SELECT * FROM {twin("op6_length_buckets", "clean")} y"""
+
+
+ORACLE_SQL = _oracle_sql()
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
