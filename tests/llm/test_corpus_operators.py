@@ -7,6 +7,7 @@ import itertools
 import os
 import re
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -395,6 +396,26 @@ def test_pipeline_equals_brute_force(spark):
         "quality_rules", "line_dedup", "near_duplicates", "decontamination", "packing"]
 
 
+def test_pipeline_equals_sql_where_hosts_and_near_leaks_matter(spark, tmp_path):
+    """A host of bad pages, a passage edited in a word, boilerplate, copies: each stage decides something."""
+    rng = np.random.default_rng(12)
+    passage = text_of(rng, 80)
+    rows = [(k, text_of(rng, 60) + "\nfooter of good", "good") for k in range(30)]
+    rows += [(100 + k, "spam " * 30, "bad") for k in range(30)] + [(130 + k, text_of(rng, 50), "bad") for k in range(4)]
+    rows += [(200, f"{text_of(rng, 20)} {edited(rng, passage, 1)} {text_of(rng, 9)}", "good"), (201, rows[3][1], "other"),
+             (202, edited(rng, rows[5][1].split("\n")[0], 1), "other"), (203, None, "good"), (204, "", None), (205, text_of(rng, 30), None)]
+    spark.createDataFrame([(*r, len(r[1] or ""), "en") for r in rows], "doc_id long, text string, source string, n_chars long, lang string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, passage), (2, text_of(rng, 25))], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    db = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    found = db.sql(corpus_pipeline.ORACLE_SQL)
+    got = corpus_pipeline.run(spark, str(tmp_path)).select(*found.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(found.fetchall())
+    ids = {r.doc_id for r in got}
+    assert not ids & {*range(100, 134), 200, 201, 203, 204} and {0, 3, 205} <= ids and len(ids & {5, 202}) == 1
+
+
 CLASHES = ["_drop", "_at", "_here", "_new", "_k", "_id", "_n", "_host", "key", "t", "_of", "c0", "c1", "bucket", "label", "a.b", "n", "text2"]
 
 
