@@ -289,12 +289,23 @@ def quartiles_exact(spark, sf_dir):
         *[F.round(c, 4).alias(c) for c in ("q1", "q2", "q3")])
 
 
-@register("quartiles_approx")
+@register("quartiles_approx", with_listings(
+    """SELECT q.probability, COUNT(price) AS n, TRUE AS within_error FROM p, (SELECT unnest([0.25, 0.75]::DOUBLE[]) AS probability) q
+       GROUP BY q.probability""", _PRICED_CTE))
 def quartiles_approx(spark, sf_dir):
-    """The notebook's sketch quartiles (error 0.05) of the listing price; rows-only check."""
+    """The notebook's sketch quartiles (error 0.05) of the listing price: is the
+    share of prices below each within the error of its probability?"""
     from hearth.operators.quantiles import approx_quantiles
-    q1, q3 = approx_quantiles(_prices(spark, sf_dir), "price", [0.25, 0.75], 0.05)
-    return spark.createDataFrame([(q1, q3)], "q1 double, q3 double")
+    prices = _priced(spark, sf_dir).select("price")
+    asked, error = [0.25, 0.75], 0.05
+    found = approx_quantiles(prices, "price", asked, error)
+    x, n = F.col("price"), F.count("price")
+    cells = []
+    for p, q in zip(asked, found):
+        # a value's copies span ranks; one of them must lie within the error
+        near = (F.count_if(x < q) / n <= p + error) & (F.count_if(x <= q) / n >= p - error)
+        cells.append(F.struct(F.lit(p).alias("probability"), n.alias("n"), near.alias("within_error")))
+    return prices.agg(F.array(*cells).alias("a")).select(F.inline("a"))
 
 
 @register("central_tendency_part",
@@ -412,9 +423,11 @@ def iqr_outliers_orders(spark, sf_dir):
     return out
 
 
-@register("iqr_kept_approx")
+# Evenly spread prices: with quartiles anywhere within the error, the fences lie beyond all of them.
+@register("iqr_kept_approx", with_listings("SELECT address, province, price FROM p WHERE price IS NOT NULL",
+                                           f"p AS (SELECT address, province, {price_intended_sql()} AS price FROM listings)"))
 def iqr_kept_approx(spark, sf_dir):
-    """The notebook's cut: sketch quartiles at error 0.05 (rows-only check)."""
+    """The notebook's cut: sketch quartiles at error 0.05."""
     kept, _, _ = outliers.split_outliers(_addr_priced(spark, sf_dir), "price", relative_error=0.05)
     return kept
 
