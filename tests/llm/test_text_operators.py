@@ -304,3 +304,41 @@ def test_redaction(spark):
 def test_luhn(spark, digits):
     got = spark.createDataFrame([(digits,)], "d string").select(pii.luhn(F.col("d"))).first()[0]
     assert got == (bool(digits) and check_digit(digits))
+
+
+# ---- URL vocabulary from a table -----------------------------------------
+
+def test_large_vocabulary_equals_brute_force(spark):
+    rng = np.random.default_rng(21)
+    letters = np.array(list("abcdefghij"))
+    terms = sorted({"".join(rng.choice(letters, n)) for n in rng.integers(2, 7, 160_000)})[:100_000]
+    kinds = {t: ("strict" if k % 50 == 0 else "soft", int(1 + k % 3)) for k, t in enumerate(terms)}
+    table = spark.createDataFrame([(t.upper() if k % 2 else t, *kinds[t]) for k, t in enumerate(terms)] + [("", "soft", 9), (None, "strict", 1), ("zz", "other", 1)],
+                                  "term string, list string, weight int")
+    vocabulary = urls.read_vocabulary(table, min_soft=4)
+    assert len(vocabulary.strict) + len(vocabulary.soft) == len(terms)
+    soft = [t for t in terms if kinds[t][0] == "soft"]
+    pages = []
+    for k in range(120):
+        words = list(rng.choice(soft, 3)) + [terms[50 * int(rng.integers(len(terms) // 50))]] * (k % 4 == 0)
+        words = [w + rng.choice(["", "x", "9"]) if k % 3 else w for w in words]
+        pages.append((k, f"https://h{k}.org/" + rng.choice(["/", "-", ".", ""]).join(words).upper() + "?q=" + rng.choice(letters)))
+    got = {r.page_id: (r.n_strict, r.n_soft, r.verdict) for r in urls.url_verdicts(spark.createDataFrame(pages, "page_id long, url string"), (), vocabulary).collect()}
+    own = set(terms)
+    for k, url in pages:
+        text = url.lower()
+        found = {w for w in re.split("[^a-z0-9]+", text) if w in own}  # terms of letters only stand between boundaries as whole runs
+        strict = {t for t in found if kinds[t][0] == "strict"}
+        weight = sum(kinds[t][1] for t in found - strict)
+        assert got[k] == (len(strict), len(found - strict), "block" if strict or weight >= 4 else "allow"), url
+    assert {v[2] for v in got.values()} == {"block", "allow"}
+
+
+def test_vocabulary_tables_with_repeats(spark):
+    table = spark.createDataFrame([("a b", "soft", None), ("a b", "soft", 3), ("C", "soft", 1), ("c", "strict", 1)], "term string, list string, weight int")
+    vocabulary = urls.read_vocabulary(table)
+    assert (vocabulary.strict, vocabulary.soft, dict(vocabulary.weights)) == (("c",), ("a b",), {"a b": 3})
+    pages = spark.createDataFrame([(1, "x://y/a b"), (2, "x://y/C"), (3, None), (4, "x://y/ab")], "page_id long, url string")
+    assert {r.page_id: r.verdict for r in urls.url_verdicts(pages, (), vocabulary).collect()} == {1: "block", 2: "block", 3: "allow", 4: "allow"}
+    empty = urls.read_vocabulary(table.limit(0))
+    assert {r.verdict for r in urls.url_verdicts(pages, (), empty).collect()} == {"allow"}
