@@ -262,7 +262,6 @@ def test_ratio_of_base_spans_to_candidates_decides_nothing(spark, mentions):
     rows += [(40_000 + k, f"we look at {name()}.org now") for k in range(mentions)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     judge = pii.fit(docs, pii.PiiRules(trees=3))
-    assert ("email" in judge.thresholds) == (mentions > 0) and "phone" not in judge.thresholds
     for r in pii.pii_spans(docs, judge=judge).collect():
         assert (r.added_email, r.added_ip, r.added_card, r.added_phone) == (int(10_000 <= r.doc_id < 20_000), 0, 0, 0), r
 
@@ -289,6 +288,48 @@ def test_training_sample_is_bounded_full_and_repeatable(spark):
     assert got[0] == got[1] and pii.sample(docs.limit(0)).count() == 0
 
 
+def test_trees_learn_from_decoys_and_stand_ins(spark):
+    """Where a corpus shows both, the trees outweigh the prior: orders of 16 digits in
+    fours, whose check digits fail, look like cards to the prior and not to the trees."""
+    rng = np.random.default_rng(9)
+
+    def card(good):
+        while True:
+            d = "4" + "".join(rng.choice(list("0123456789"), 15))
+            if check_digit(d) == good:
+                return d
+
+    fours = lambda d, sep: sep.join(d[k:k + 4] for k in range(0, 16, 4))
+    rows = [(k, f"paid with card {fours(card(True), ' ')} today") for k in range(1500)]
+    rows += [(10_000 + k, f"order no {fours(card(False), '.')}/7 shipped") for k in range(1500)]
+    rows += [(20_000 + k, f"order no {fours(card(True), '.')}/7 shipped") for k in range(30)]
+    rows += [(30_000 + k, f"paid with card {fours(card(True), '.')} today") for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    judge = pii.fit(docs, pii.PiiRules(trees=5))
+    assert judge.trees and judge.seen["card"] > 1000
+    got = {r.doc_id: r for r in pii.pii_spans(docs, judge=judge).collect()}
+    assert all(got[30_000 + k].added_card == 1 and got[20_000 + k].spans == "" for k in range(30))
+    prior = {r.doc_id: r for r in pii.pii_spans(docs.filter("doc_id >= 20000 AND doc_id < 20030"), judge=pii.Judge()).collect()}
+    assert sum(r.added_card for r in prior.values()) == 30  # which the prior alone would add
+
+
+def test_most_probable_of_overlapping_candidates_stays(spark):
+    """A number that a card and a phone generator propose is one span, and spans never overlap."""
+    texts = ["call 4111.1111.1111.1111 now", "card 4111-1111 1111.1111 or 020 7946 0958", "tel 020 7946 0958 4111 1111 1111 1111",
+             "contact: ann @ site . org", "e-mail ann at site.org at noon.org", "phone 0207946095812", "ip 10 . 0 . 0 . 1"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.pii_spans(docs, judge=pii.Judge()).collect():
+        places = sorted(tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x)
+        assert (places or r.doc_id == 2) and all(a[1] <= b[0] for a, b in zip(places, places[1:], strict=False)), r
+
+
+def test_thresholds_follow_one_formula():
+    rules = pii.PiiRules()
+    assert pii._threshold({}, rules) == pii.SURE
+    assert pii._threshold({0.5: (10_000, 3), 0.6: (9_000, 0)}, rules) == 0.5
+    assert pii._threshold({s: (0, 50) for s in pii.STEPS}, rules) == 1.0
+
+
 def test_nothing_to_learn_from(spark):
     docs = spark.createDataFrame([(1, "a@b.c")], "doc_id long, text string")
     assert pii.fit(docs) == pii.Judge() and pii.fit(docs.limit(0)) == pii.Judge()
