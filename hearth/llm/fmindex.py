@@ -3,7 +3,7 @@
 A word goes if a window of 50 words that covers it also starts in a document
 with a smaller id.
 
-1. Sampling.  Every window has a least hash among its 16-word grams; equal
+1. Sampling.  Every window has a least hash among its 12-word grams; equal
    windows have the same one.  Hashes held by one document only are done:
    their windows stand nowhere else.
 2. Shards.  Neighbouring windows with the same (shared) least hash form a
@@ -38,6 +38,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,7 +48,7 @@ from hearth.llm import _arrow as A
 from hearth.llm._store import SMALL_GROUPS, materialise, small
 
 WINDOW = 50
-GRAM = 16
+GRAM = 12
 #: Windows of a segment.
 STRETCH = 64
 _BASE = 0x9E3779B97F4A7C15  # odd multiplier of the rolling hash
@@ -59,9 +60,9 @@ class FmRules:
     #: Text bytes of a chunk (one longer document is a chunk by itself).
     chunk_bytes: int = 2 << 20
     #: Words that a shard should hold; more words make more shards.
-    shard_words: int = 1 << 20
+    shard_words: int = 1 << 18
     #: Documents with the same least hash from which on it is dealt out further.
-    hot_docs: int = 1 << 13
+    hot_docs: int = 1 << 11
 
 
 # ---- chunks --------------------------------------------------------------
@@ -112,7 +113,7 @@ class Texts:
     def __init__(self, row: dict) -> None:
         self.ids = np.array([_NONE if i is None else i for i in row["ids"]], np.int64)
         self.has_id = np.array([i is not None for i in row["ids"]], dtype=bool)
-        data = np.frombuffer(row["blob"], np.uint8)
+        data = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["blob"]), np.uint8)
         offsets = np.concatenate([[0], np.cumsum(row["sizes"])]).astype(np.int64)
         starts, ends, self.first, mask = A.runs(data, offsets, A.NOT_SPACE)
         sizes = ends - starts
@@ -145,8 +146,9 @@ class Texts:
         pairs = np.unique(np.stack([least[new], doc[new].astype(np.uint64)], axis=1), axis=0) if new.any() else np.zeros((0, 2), np.uint64)
         return np.unique(pairs[:, 0], return_counts=True)
 
-    def segments(self, shared: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-        """First word, windows, document, route and key of each segment.
+    def segments(self, shared: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+        """First word, windows, document, route and number of each segment, and
+        the keys of the numbers (equal segments of a chunk have the same).
 
         ``shared`` are the hashes that several documents hold, sorted; 2 **
         level ways lead from one of them."""
@@ -168,12 +170,13 @@ class Texts:
         n = np.diff(np.append(run, len(start)))
         s = start[run]
         body, a, e = self.plain.tobytes(), self.at[s], self.at[s + n + WINDOW - 1] - 1
-        keys = [xxhash.xxh3_128_digest(body[i:j]) for i, j in zip(a.tolist(), e.tolist(), strict=True)]
-        return s, n, doc[run], route[run], keys
+        keys: dict[bytes, int] = {}
+        number = np.fromiter((keys.setdefault(xxhash.xxh3_128_digest(body[i:j]), len(keys)) for i, j in zip(a.tolist(), e.tolist(), strict=True)), np.int64, len(a))
+        return s, n, doc[run], route[run], number, list(keys)
 
 
 def _chunks(docs: DataFrame, id_col: str, text_col: str, rules: FmRules) -> DataFrame:
-    """chunk, ids, sizes, blob."""
+    """chunk, ids, sizes, blob (the texts as one zstd frame, as the joins may move it)."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +189,7 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str, rules: FmRules) -> Data
             one = pa.array([0, len(sizes)], pa.int32())
             return pa.RecordBatch.from_arrays(
                 [pa.array([(part << 32) + number], pa.int64()), pa.ListArray.from_arrays(one, pa.concat_arrays([h[0] for h in held])),
-                 pa.ListArray.from_arrays(one, pa.array(sizes)), pa.array([b"".join(h[1].tobytes() for h in held)], pa.binary())],
+                 pa.ListArray.from_arrays(one, pa.array(sizes)), pa.array([zstandard.ZstdCompressor(level=3).compress(b"".join(h[1].tobytes() for h in held))], pa.binary())],
                 names=["chunk", "ids", "sizes", "blob"])
 
         for batch in batches:
@@ -209,11 +212,11 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 
 def _shared(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    found = row.get("shared") or []
-    hashes = np.array([f["sample"] for f in found], np.int64).view(np.uint64)
-    levels = np.array([f["level"] for f in found], np.int64)
-    order = np.argsort(hashes)
-    return hashes[order], levels[order]
+    hashes = np.sort(np.array(row["shared"] or [], np.int64).view(np.uint64))
+    levels = np.zeros(len(hashes), np.int64)
+    for f in row["hot"] or []:
+        levels[np.searchsorted(hashes, np.int64(f["sample"]).view(np.uint64))] = f["level"]
+    return hashes, levels
 
 
 # ---- the index of a shard ------------------------------------------------
@@ -361,7 +364,8 @@ class FmIndex:
 
 
 def _shard(table: pa.Table) -> pa.Table:
-    """Index of a shard's segments, and what it says of each: key, n, docs (runs of equal answers)."""
+    """Index of a shard's segments, and what it says of each: key, n, docs (runs of
+    equal answers)."""
     data, offsets = A.flat(table["text"])
     starts, ends, first, mask = A.runs(data, offsets, A.NOT_SPACE)
     ids, _ = A.encode(data, mask, ends - starts)
@@ -382,16 +386,16 @@ def _shard(table: pa.Table) -> pa.Table:
     new[1:] = answer[1:] != answer[:-1]
     new[head] = True
     at = np.flatnonzero(new)
+    # a segment that one document alone holds, all of it for the first time, needs no answer
+    tells = (A.per_doc(answer != np.repeat(doc, windows), np.append(head, len(answer))) > 0) | (table["holders"].to_numpy() > 1)
     lists = pa.array(np.append(np.searchsorted(at, head), len(at)).astype(np.int32))
     return pa.table([table["key"], pa.ListArray.from_arrays(lists, pa.array(np.diff(np.append(at, len(answer))).astype(np.int32))),
-                     pa.ListArray.from_arrays(lists, pa.array(answer[at])),
-                     pa.array(np.maximum.reduceat((answer != np.repeat(doc, windows)).astype(np.int8), head).astype(bool) if n else [], pa.bool_())],
-                    names=["key", "n", "docs", "lower"])
+                     pa.ListArray.from_arrays(lists, pa.array(answer[at]))], names=["key", "n", "docs"]).filter(pa.array(tells))
 
 
 # ---- the operator --------------------------------------------------------
 
-_SEGMENT = "chunk bigint, key binary, route bigint, doc bigint, holders bigint, words bigint, text binary"
+_SEGMENT = "chunk bigint, number bigint, key binary, route bigint, doc bigint, holders bigint, words bigint, text binary"
 
 
 def dedup(docs: DataFrame, rules: FmRules = FmRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -409,44 +413,35 @@ def dedup(docs: DataFrame, rules: FmRules = FmRules(), id_col: str = "doc_id", t
     counted = samples.groupBy(F.col("sample").alias("s")).agg(F.sum("docs").alias("n")).filter("n > 1")
     level = F.ceil(F.log2(F.greatest(F.col("n") / rules.hot_docs, F.lit(1.0)))).cast("long")
     replies = samples.join(counted.select("s", level.alias("level")), F.col("sample") == F.col("s"))
-    replies = materialise(replies.groupBy(F.col("chunk").alias("c")).agg(F.collect_list(F.struct("sample", "level")).alias("shared")), "shared")
-    work = _beside(chunks, replies, F.lit(64) + 24 * F.size("shared"))
+    hot = F.collect_list(F.when(F.col("level") > 0, F.struct("sample", "level")))
+    replies = materialise(replies.groupBy(F.col("chunk").alias("c")).agg(F.collect_list("sample").alias("shared"), hot.alias("hot")), "shared")
+    work = _beside(chunks, replies, F.lit(64) + 8 * F.size("shared") + 40 * F.size("hot"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             texts = Texts(row)
-            start, n, doc, route, keys = texts.segments(*_shared(row))
-            body, found = texts.plain.tobytes(), {}
-            for k, key in enumerate(keys):
-                id_ = int(texts.ids[doc[k]])
-                if key in found:
-                    found[key][1] = min(found[key][1], id_)
-                    found[key][2] += 1
-                else:
-                    found[key] = [k, id_, 1]
-            at = np.array([f[0] for f in found.values()], np.int64)
-            a, e = texts.at[start[at]].tolist(), (texts.at[start[at] + n[at] + WINDOW - 1] - 1).tolist()
+            start, n, doc, route, number, keys = texts.segments(*_shared(row))
+            least, first, holders = np.full(len(keys), _NONE), np.zeros(len(keys), np.int64), np.bincount(number, minlength=len(keys))
+            np.minimum.at(least, number, texts.ids[doc])
+            first[number[::-1]] = np.arange(len(number))[::-1]
+            body, a, e = texts.plain.tobytes(), texts.at[start[first]], texts.at[start[first] + n[first] + WINDOW - 1] - 1
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(at), row["chunk"]), pa.int64()), pa.array(list(found), pa.binary()), pa.array(route[at].view(np.int64)),
-                 pa.array([f[1] for f in found.values()], pa.int64()), pa.array([f[2] for f in found.values()], pa.int64()),
-                 pa.array(n[at] + WINDOW - 1), pa.array([body[i:j] for i, j in zip(a, e, strict=True)], pa.binary())],
-                names=["chunk", "key", "route", "doc", "holders", "words", "text"])
-
-    segments = materialise(work.filter("shared IS NOT NULL").mapInArrow(send, _SEGMENT), "segments")
-    once = segments.groupBy("key").agg(F.min("doc").alias("doc"), F.sum("holders").alias("holders"),
-                                       F.first("route").alias("route"), F.first("words").alias("words"), F.first("text").alias("text"))
-    once = materialise(once, "once")
-    total = once.agg(F.sum("words")).first()[0] or 0
+                [pa.array(np.full(len(keys), row["chunk"]), pa.int64()), pa.array(np.arange(len(keys))), pa.array(keys, pa.binary()),
+                 pa.array(route[first].view(np.int64)), pa.array(least), pa.array(holders), pa.array(n[first] + WINDOW - 1),
+                 pa.array([body[i:j] for i, j in zip(a.tolist(), e.tolist(), strict=True)], pa.binary())],
+                names=["chunk", "number", "key", "route", "doc", "holders", "words", "text"])
+
+    segments = materialise(work.filter("shared IS NOT NULL").mapInArrow(send, _SEGMENT), "segments", {**SMALL_GROUPS, "compression": "zstd"})
+    total = segments.agg(F.sum("words")).first()[0] or 0
     bits = max(0, int(total // rules.shard_words).bit_length())
     shard = F.shiftrightunsigned("route", 64 - bits) if bits else F.lit(0).cast("long")
-    answers = once.select(shard.alias("shard"), "key", "doc", "text").groupBy("shard").applyInArrow(
-        _shard, "key binary, n array<int>, docs array<bigint>, lower boolean")
+    once = segments.groupBy("key").agg(F.min("doc").alias("doc"), F.sum("holders").alias("holders"), F.first("route").alias("route"), F.first("text").alias("text"))
+    answers = once.select(shard.alias("shard"), "key", "doc", "holders", "text").groupBy("shard").applyInArrow(_shard, "key binary, n array<int>, docs array<bigint>")
     answers = materialise(answers, "answers")
-    # a segment that one document alone holds, all of it for the first time, needs no answer
-    telling = answers.join(once.select(F.col("key").alias("k"), "holders"), F.col("key") == F.col("k")).filter("lower OR holders > 1")
-    back = segments.select("chunk", F.col("key").alias("k2")).join(telling.select("key", "n", "docs"), F.col("k2") == F.col("key"))
-    back = materialise(back.groupBy(F.col("chunk").alias("c")).agg(F.collect_list(F.struct("key", "n", "docs")).alias("answers")), "back")
-    size = F.aggregate("answers", F.lit(64).cast("long"), lambda s, x: s + 48 + 12 * F.size(x["n"]))
+    back = segments.select("chunk", "number", F.col("key").alias("k")).join(answers, F.col("k") == F.col("key"))
+    back = back.select(F.col("chunk").alias("c"), F.struct("number", "n", "docs").alias("a")).groupBy("c").agg(F.collect_list("a").alias("answers"))
+    back = materialise(back, "back")
+    size = F.aggregate("answers", F.lit(64).cast("long"), lambda s, x: s + 64 + 12 * F.size(x["n"]))
     work = _beside(work, back, size)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -465,12 +460,12 @@ def _kept(texts: Texts, row: dict) -> pa.RecordBatch:
     words = len(texts.hashes)
     cover = np.zeros(words + 1, np.int64)
     if row["answers"]:
-        start, n, doc, _, keys = texts.segments(*_shared(row))
-        known = {a["key"]: (a["n"], a["docs"]) for a in row["answers"]}
-        for s, d, key in zip(start.tolist(), doc.tolist(), keys, strict=True):
-            if key in known and texts.has_id[d]:
+        start, _, doc, _, number, _ = texts.segments(*_shared(row))
+        known = {a["number"]: (a["n"], a["docs"]) for a in row["answers"]}
+        for s, d, k in zip(start.tolist(), doc.tolist(), number.tolist(), strict=True):
+            if k in known and texts.has_id[d]:
                 at = s
-                for m, least in zip(*known[key], strict=True):
+                for m, least in zip(*known[k], strict=True):
                     if least < texts.ids[d]:
                         cover[at] += 1
                         cover[at + m + WINDOW - 1] -= 1
