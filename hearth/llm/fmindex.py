@@ -60,7 +60,7 @@ class FmRules:
     #: Text bytes of a chunk (one longer document is a chunk by itself).
     chunk_bytes: int = 2 << 20
     #: Words that a shard should hold; more words make more shards.
-    shard_words: int = 1 << 18
+    shard_words: int = 1 << 19
     #: Documents with the same least hash from which on it is dealt out further.
     hot_docs: int = 1 << 11
 
@@ -156,7 +156,7 @@ class Texts:
         at = np.minimum(np.searchsorted(shared, least), max(len(shared) - 1, 0))
         keep = shared[at] == least if len(shared) else np.zeros(len(least), dtype=bool)
         start, doc, least, level = start[keep], doc[keep], least[keep], levels[at[keep]] if len(shared) else levels[:0]
-        route = least.copy()
+        route = A.mix(least)  # least hashes are small numbers, their mix is spread evenly
         hot = np.flatnonzero(level > 0)
         if len(hot):
             way = self.rolling.at(start[hot], WINDOW) >> (np.uint64(64) - level[hot].astype(np.uint64))
