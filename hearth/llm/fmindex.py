@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hearth.llm import _arrow as A
-from hearth.llm._store import SMALL_GROUPS, materialise, small
+from hearth.llm._store import SMALL_GROUPS, materialise
 
 WINDOW = 50
 GRAM = 12
@@ -415,7 +415,7 @@ def dedup(docs: DataFrame, rules: FmRules = FmRules(), id_col: str = "doc_id", t
     replies = samples.join(counted.select("s", level.alias("level")), F.col("sample") == F.col("s"))
     hot = F.collect_list(F.when(F.col("level") > 0, F.struct("sample", "level")))
     replies = materialise(replies.groupBy(F.col("chunk").alias("c")).agg(F.collect_list("sample").alias("shared"), hot.alias("hot")), "shared")
-    work = _beside(chunks, replies, F.lit(64) + 8 * F.size("shared") + 40 * F.size("hot"))
+    work = _beside(chunks, replies)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
@@ -441,8 +441,7 @@ def dedup(docs: DataFrame, rules: FmRules = FmRules(), id_col: str = "doc_id", t
     back = segments.select("chunk", "number", F.col("key").alias("k")).join(answers, F.col("k") == F.col("key"))
     back = back.select(F.col("chunk").alias("c"), F.struct("number", "n", "docs").alias("a")).groupBy("c").agg(F.collect_list("a").alias("answers"))
     back = materialise(back, "back")
-    size = F.aggregate("answers", F.lit(64).cast("long"), lambda s, x: s + 64 + 12 * F.size(x["n"]))
-    work = _beside(work, back, size)
+    work = _beside(work, back)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
@@ -452,8 +451,9 @@ def dedup(docs: DataFrame, rules: FmRules = FmRules(), id_col: str = "doc_id", t
     return work.mapInArrow(cut, schema)
 
 
-def _beside(rows: DataFrame, side: DataFrame, size) -> DataFrame:
-    return rows.join(small(side, size), F.col("chunk") == F.col("c"), "left").drop("c")
+def _beside(rows: DataFrame, side: DataFrame) -> DataFrame:
+    """The side grows with the texts: the join is left to the optimizer, which moves the compressed chunks."""
+    return rows.join(side, F.col("chunk") == F.col("c"), "left").drop("c")
 
 
 def _kept(texts: Texts, row: dict) -> pa.RecordBatch:
