@@ -26,9 +26,9 @@ A kind's threshold is the least probability whose precision over held-out spans
 reaches ``precision``; it is read from Beta-shrunk counts too, with
 ``prior_spans`` spans of the precision that the prior expects.
 
-The trees are fitted on the ``train_docs`` documents of the smallest hashes;
-everything else runs over all texts, in one pass without a shuffle: the fitted
-trees become column expressions.
+Trees, counts and thresholds come from the spans of all documents.  The texts
+are scanned once: their spans are written, the trees are fitted on them and
+then, as column expressions, judge them without a shuffle.
 
 Defined results: a null text is an empty one; spans are in code points, end
 exclusive; spans of one kind do not overlap, those of different kinds may;
@@ -103,7 +103,7 @@ _STRIDE = 256
 
 @dataclass(frozen=True)
 class PiiRules:
-    #: Bound of the documents that the trees are fitted on.
+    #: Documents that ``sample`` takes (``fit`` uses whatever it is given, whole).
     train_docs: int = 20_000
     trees: int = 20
     depth: int = 3
@@ -347,16 +347,20 @@ def sample(docs: DataFrame, rules: PiiRules = PiiRules(), id_col: str = "doc_id"
 
 
 def fit(docs: DataFrame, rules: PiiRules = PiiRules(), id_col: str = "doc_id", text_col: str = "text") -> Judge:
-    """Learns the trees and thresholds on a bounded sample of documents."""
-    found = spans(sample(docs, rules, id_col, text_col), id_col, text_col)
+    """Learns the trees and thresholds on the spans of all ``docs``."""
+    return learn(spans(docs, id_col, text_col), rules)
+
+
+def learn(found: DataFrame, rules: PiiRules = PiiRules()) -> Judge:
+    """``fit`` on rows of ``spans``."""
     labelled = F.concat(*(_labelled(f"{side}_{k}", k, side == "wide") for side in ("base", "wide") for k in KINDS))
-    table = materialise(found.select(F.inline(labelled)).filter("label IS NOT NULL").repartition(4, "h"), "pii-training")
+    table = materialise(found.select(F.inline(labelled)).filter("label IS NOT NULL").hint("rebalance"), "pii-training")
     held = F.pmod("h", F.lit(4)) == 0
     seen = {(r["kind"], r["label"]): r["count"] for r in table.filter(~held).groupBy("kind", "label").count().collect()}
     if len({label for _, label in seen}) < 2:
         return Judge(prior_weight=rules.prior_weight)  # one label has nothing to tell: n is 0 for every kind
     data = table.filter(~held).withColumn("features", array_to_vector("f"))
-    model = GBTClassifier(maxIter=rules.trees, maxDepth=rules.depth, seed=7, cacheNodeIds=False).fit(data.coalesce(2))
+    model = GBTClassifier(maxIter=rules.trees, maxDepth=rules.depth, seed=7, cacheNodeIds=False).fit(data)
     trees = tuple((float(w), _leaf_or_split(t._call_java("rootNode"))) for w, t in zip(model.treeWeights, model.trees, strict=True))
     judge = Judge(trees, {k: 2.0 * min(seen.get((k, 0.0), 0), seen.get((k, 1.0), 0)) for k in KINDS}, {}, rules.prior_weight)
     p = F.lit(0.0)
@@ -380,8 +384,10 @@ def pii_spans(docs: DataFrame, rules: PiiRules = PiiRules(), id_col: str = "doc_
               judge: Judge | None = None) -> DataFrame:
     """One row per document: counts of base spans, the digest of their list, all
     spans as text, and ``added_*``, the number of candidates among them."""
-    judge = fit(docs, rules, id_col, text_col) if judge is None else judge
     rows = spans(docs, id_col, text_col)
+    if judge is None:
+        rows = materialise(rows, "pii-spans")
+        judge = learn(rows, rules)
     some = F.lit(False)
     for kind in KINDS:
         some = some | (F.size(f"wide_{kind}") > 0)
