@@ -98,6 +98,38 @@ def test_cluster_indices_are_fitted_on_training_rows_only(spark, complete):
     assert test.count() and test.agg(F.max("address_index")).first()[0] <= labels
 
 
+def test_cluster_fits_read_rows_without_a_join_behind_them(spark, complete, monkeypatch):
+    """Each task of each fit sends the metrics of the whole plan behind its rows."""
+    plans, fitted = [], models.KMeans
+
+    class Spy(fitted):
+        def _fit(self, dataset):
+            plans.append(dataset._jdf.queryExecution().executedPlan().toString())
+            return super()._fit(dataset)
+
+    monkeypatch.setattr(models, "KMeans", Spy)
+    cluster_price.run(complete, k_values=(2,))
+    cluster_price.fit(complete, k=2)
+    assert len(plans) == 3  # the sweep's, the final one, the saved workflow's
+    assert all("InMemory" in p and "Join" not in p and "Exchange" not in p and "Aggregate" not in p for p in plans)
+
+
+def test_cluster_fits_read_all_rows_in_few_partitions(spark, monkeypatch):
+    monkeypatch.setattr(cluster_price, "FIT_ROWS", 100)
+    cores = spark.sparkContext.defaultParallelism
+    rows = spark.range(0, 100 * (cores + 2), 1, 4 * cores).select(
+        (F.col("id") % 7).cast("double").alias("x"), F.when(F.col("id") % 3 > 0, F.col("id")).cast("double").alias("y"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")  # a split for each written file
+    try:
+        got = cluster_price.fit_rows(rows)
+        assert got.rdd.getNumPartitions() == cores + 2  # by the rows, not by the partitions that made them
+        assert cluster_price.fit_rows(rows.limit(50)).rdd.getNumPartitions() <= cores
+        assert cluster_price.fit_rows(rows.where("x < 0")).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(map(str, got.collect())) == sorted(map(str, rows.collect()))
+
+
 @pytest.mark.parametrize("as_written", [False, True])
 def test_ridge_workflow_end_to_end(spark, complete, as_written):
     result = ridge_price.run(complete, as_written)
