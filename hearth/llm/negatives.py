@@ -13,15 +13,18 @@ a score is a distance and a window of scores is an annulus around the query.
    the nearest split point; for each split point and each sibling subtree the
    least and greatest distance over *all* classes is kept.
 3. Search.  A query's annulus, met with those ranges, eliminates siblings; the
-   leaves that remain are scanned exactly, in blocks, so the result is exact
-   whatever the sample.  Each search runs twice: in the query's home leaf, for
-   a first bound on its k-th best, then in every leaf that may hold a better
-   row.
+   leaves that remain are scanned exactly, so the result is exact whatever the
+   sample.  Leaves stand together on shelves, each of which a query visits once
+   with the list of its leaves that remain: in near-random vectors nearly all
+   of them do, and a copy of the query for each would outgrow any memory.  Each
+   search runs twice: in the query's home leaf, for a first bound on its k-th
+   best, then in every leaf that may hold a better row.
 4. Positives first, as the k best of the same label; their scores are the
    windows for the negatives.
 
-The driver holds the split points and ranges, both bounded by the sample.  A
-task holds one block of a leaf and a part of its queries.
+The driver holds the split points, ranges and leaf sizes, all bounded by the
+sample.  A task routes a bounded number of (query, leaf) at a time, and holds
+one shelf and a part of its queries; it scores a few hundred of them at once.
 
 Defined results: rows with a null label, a null vector, a null or non-finite
 component, or one of 2**20 or more (its scores would leave the range of a
@@ -41,11 +44,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearth.llm._store import SMALL_GROUPS, materialise
+from hearth.llm._store import SMALL_GROUPS, bounded, materialise
 
 _FAR = 1 << 62
 #: Distances are compared with this room for rounding, times the lengths of the vectors.
 _ROOM = 1e-6
+#: (query, leaf) that a task routes at once, visits that it hands on at once, queries that it scores at once.
+_ROUTED, _HANDED, _SCORED = 1 << 20, 4096, 256
 
 
 @dataclass(frozen=True)
@@ -61,9 +66,10 @@ class MiningRules:
     fanout: int = 16
     #: Classes that a leaf should hold, at least ``sample`` leaves permitting.
     leaf_rows: int = 1024
-    #: Classes and queries that one task scans at once.
+    #: Classes and queries of a block, and blocks of either that one task holds.
     block_rows: int = 4096
     block_queries: int = 4096
+    held_blocks: int = 4
 
 
 # ---- tree ----------------------------------------------------------------
@@ -170,9 +176,22 @@ def _matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
 def scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Exact inner products: in floating point where every partial sum fits, else in integers."""
     most = q.shape[1] * float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0))
+    if most < 2.0 ** 24:
+        return (q.astype(np.float32) @ x.T.astype(np.float32)).astype(np.int64)
     if most < 2.0 ** 52:
         return (q.astype(np.float64) @ x.T.astype(np.float64)).astype(np.int64)
-    return q @ x.T
+    return q.astype(np.int64) @ x.T.astype(np.int64)
+
+
+def _packed(x: np.ndarray) -> pa.Array:
+    """A binary value per row: its components, which are below 2**31, as 32-bit integers."""
+    ends = np.arange(len(x) + 1, dtype=np.int32) * (4 * x.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(x, np.int32))])
+
+
+def _unpacked(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    """The rows of all values, one after the other."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.int32).reshape(-1, width)
 
 
 # ---- index ---------------------------------------------------------------
@@ -226,30 +245,33 @@ class Index:
             tree.low[r["node"]][r["i"], r["child"]], tree.high[r["node"]][r["i"], r["child"]] = r["low"], r["high"]
         self.tree = spark.sparkContext.broadcast(tree)
         rows = placed.filter("leaf IS NOT NULL")
-        self.blocks = materialise(_shares(rows, rules.block_rows, "blocks"), "blocks")
-        block = F.pmod(F.xxhash64("key"), F.col("blocks"))
-        rows = rows.join(F.broadcast(self.blocks), "leaf").withColumn("block", block)
+        most = rules.block_rows * rules.held_blocks
+        sizes = {r["leaf"]: r["n"] for r in rows.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # bounded by the tree
+        self.shelves = _shelves([sizes.get(leaf, 0) for leaf in range(tree.leaves)], most)
+        of = [(leaf, int(first), int(n)) for leaf, (first, n) in enumerate(zip(*self.shelves, strict=True)) if n]
+        of_leaf = spark.createDataFrame(of, "leaf bigint, first bigint, n bigint")
+        shelf = F.col("first") + F.pmod(F.xxhash64("key"), F.col("n"))
+        rows = rows.join(F.broadcast(of_leaf), "leaf").withColumn("shelf", shelf)
 
         def pack(table: pa.Table) -> pa.Table:
             x = _matrix(table["q"], width)
             one = pa.array([0, table.num_rows], pa.int32())
-            return pa.table([table["leaf"][:1], table["block"][:1], pa.array([x.astype(np.int32).tobytes()], pa.binary()),
+            return pa.table([table["shelf"][:1], table["leaf"][:1], pa.array([x.astype(np.int32).tobytes()], pa.binary()),
                              *(pa.ListArray.from_arrays(one, table[c].combine_chunks()) for c in ("label", "ids"))],
-                            names=["leaf", "block", "x", "labels", "ids"])
+                            names=["shelf", "leaf", "x", "labels", "ids"])
 
-        self.packed = materialise(rows.select("leaf", "block", "q", "label", "ids").groupBy("leaf", "block").applyInArrow(
-            pack, "leaf bigint, block bigint, x binary, labels array<bigint>, ids array<array<bigint>>"), "leaves", SMALL_GROUPS)
+        self.packed = materialise(rows.select("shelf", "leaf", "q", "label", "ids").groupBy("shelf", "leaf").applyInArrow(
+            pack, "shelf bigint, leaf bigint, x binary, labels array<bigint>, ids array<array<bigint>>"), "leaves", SMALL_GROUPS)
 
     def routed(self, queries: DataFrame, home: bool) -> DataFrame:
-        """leaf beside the query: its home, or every leaf that meets its windows."""
-        sent, width = self.tree, self.width
-        names = ["key", "label", "q", "lows", "highs"]
+        """shelf and its leaves beside the query: those of its home, or of every leaf that meets its windows."""
+        sent, width, shelves = self.tree, self.width, self.shelves
+        names = ["key", "label", "lows", "highs"]
 
         def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tree = sent.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
+            step = max(1, _ROUTED // max(1, int(shelves[1].sum())))
+            for batch in (b.slice(k, step) for b in batches for k in range(0, b.num_rows, step)):
                 q = _matrix(batch.column("q"), width)
                 x = level(q)
                 if home:
@@ -259,45 +281,61 @@ class Index:
                     low = np.array([min(v) for v in batch.column("lows").to_pylist()], np.int64)
                     high = np.array([max(v) for v in batch.column("highs").to_pylist()], np.int64)
                     of, leaf = tree.reached(x, _distance_of(norms, tree.top, high), _distance_of(norms, tree.top, low))
-                out = batch.take(pa.array(of))
-                yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), *(out.column(c) for c in names)], names=["leaf", *names])
-
-        return queries.select(*names).mapInArrow(
-            route, "leaf bigint, key string, label bigint, q array<bigint>, lows array<bigint>, highs array<bigint>")
+                of, leaf, shelf = _visited(of, leaf, shelves)
+                heads = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (shelf[1:] != shelf[:-1]))[: len(of)])
+                ends = np.append(heads, len(of))
+                packed = _packed(q)
+                for k in range(0, len(heads), _HANDED):
+                    mine, upto = heads[k: k + _HANDED], ends[k: k + _HANDED + 1]
+                    at = pa.array(of[mine])
+                    leaves = pa.ListArray.from_arrays(pa.array(upto - upto[0], pa.int32()), pa.array(leaf[upto[0]: upto[-1]], pa.int32()))
+                    out = batch.take(at)
+                    yield pa.RecordBatch.from_arrays([pa.array(shelf[mine], pa.int64()), leaves, packed.take(at), *(out.column(c) for c in names)], names=["shelf", "leaves", "q", *names])
+
+        return queries.select(*names, "q").mapInArrow(
+            route, "shelf bigint, leaves array<int>, q binary, key string, label bigint, lows array<bigint>, highs array<bigint>")
 
     def search(self, queries: DataFrame, same_label: bool, k: int, home: bool) -> DataFrame:
         """key, w (number of the window), found: the first k rows of each window, as (score, id)."""
         width = self.width
         visits = materialise(self.routed(queries, home), "visits")
-        asked = _shares(visits, self.rules.block_queries, "parts")
-        upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-        left = visits.join(F.broadcast(self.blocks), "leaf").join(asked, "leaf").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")))
-        left = left.select("leaf", "part", upto("blocks").alias("block"), "key", "label", "q", "lows", "highs")
-        again = _shares(visits.select("leaf"), self.rules.block_queries, "parts_of")
-        right = self.packed.join(again, "leaf").select("leaf", "block", upto("parts_of").alias("part"), "x", "labels", "ids")
-
-        def scan(asking: pa.Table, block: pa.Table) -> pa.Table:
+        most = self.rules.block_queries * self.rules.held_blocks
+        asked = materialise(visits.groupBy("shelf").agg(F.ceil(F.count("*") / most).cast("long").alias("parts")), "asked")
+        asked = bounded(asked, 16)
+        left = visits.join(asked, "shelf").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts"))).drop("parts")
+        upto = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+        right = self.packed.join(asked, "shelf").select("shelf", upto.alias("part"), "leaf", "x", "labels", "ids")
+
+        def scan(asking: pa.Table, shelf: pa.Table) -> pa.Table:
             out: list[tuple[str, int, list[tuple[int, int | None]]]] = []
-            if asking.num_rows and block.num_rows:
-                x = np.frombuffer(block["x"][0].as_py(), np.int32).astype(np.int64).reshape(-1, width)
-                labels = np.array(block["labels"][0].as_py(), np.int64)
-                ids = block["ids"][0].as_py()
-                found = scores(_matrix(asking["q"], width), x)
-                for n, (key, label, lows, highs) in enumerate(zip(*(asking[c].to_pylist() for c in ("key", "label", "lows", "highs")), strict=True)):
-                    mine = np.flatnonzero((labels == label) == same_label)
-                    s = found[n, mine]
-                    for w, (low, high) in enumerate(zip(lows, highs, strict=True)):
-                        at = np.flatnonzero((s >= low) & (s <= high))
-                        if len(at) > k:  # with all ties of the k-th
-                            at = at[s[at] >= np.partition(s[at], len(at) - k)[len(at) - k]]
-                        best = sorted(((int(s[a]), i) for a in at for i in ids[mine[a]]), key=_place)[:k]
-                        if best:
-                            out.append((key, w, best))
+            if asking.num_rows and shelf.num_rows:
+                held = {leaf: k for k, leaf in enumerate(shelf["leaf"].to_pylist())}
+                x, sizes = _unpacked(shelf["x"], width), [len(v) for v in shelf["labels"].to_pylist()]
+                starts = np.append(0, np.cumsum(sizes))
+                labels = shelf["labels"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+                ids = shelf["ids"].combine_chunks().flatten()
+                q, met = _unpacked(asking["q"], width), [[held[leaf] for leaf in leaves if leaf in held] for leaves in asking["leaves"].to_pylist()]
+                asks = list(zip(*(asking[c].to_pylist() for c in ("key", "label", "lows", "highs")), strict=True))
+                order = sorted(range(len(asks)), key=met.__getitem__)  # those of the same leaves together
+                for some in (order[n: n + _SCORED] for n in range(0, len(order), _SCORED)):
+                    leaves = sorted({leaf for n in some for leaf in met[n]})
+                    rows = np.concatenate([np.arange(starts[leaf], starts[leaf + 1]) for leaf in leaves] or [np.zeros(0, np.int64)])
+                    found, of_rows = scores(q[some], x[rows]), labels[rows]
+                    for s, (key, label, lows, highs) in zip(found, (asks[n] for n in some), strict=True):
+                        mine = np.flatnonzero(((of_rows == label) == same_label) & (s >= min(lows)) & (s <= max(highs)))
+                        s = s[mine]
+                        for w, (low, high) in enumerate(zip(lows, highs, strict=True)):
+                            at = np.flatnonzero((s >= low) & (s <= high))
+                            if len(at) > k:  # with all ties of the k-th
+                                at = at[s[at] >= np.partition(s[at], len(at) - k)[len(at) - k]]
+                            best = sorted(((int(s[a]), i) for a in at for i in ids[int(rows[mine[a]])].as_py()), key=_place)[:k]
+                            if best:
+                                out.append((key, w, best))
             pairs = pa.list_(pa.struct([("score", pa.int64()), ("id", pa.int64())]))
             return pa.table([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int32()),
                              pa.array([[{"score": s, "id": i} for s, i in o[2]] for o in out], pairs)], names=["key", "w", "found"])
 
-        hits = (left.groupBy("leaf", "block", "part").cogroup(right.groupBy("leaf", "block", "part"))
+        hits = (left.groupBy("shelf", "part").cogroup(right.groupBy("shelf", "part"))
                 .applyInArrow(scan, "key string, w int, found array<struct<score:bigint,id:bigint>>"))
         rows = hits.select("key", "w", F.explode("found").alias("f"))
         order = Window.partitionBy("key", "w").orderBy(F.col("f.score").desc(), F.col("f.id").asc_nulls_last())
@@ -310,9 +348,28 @@ def _place(f: tuple[int, int | None]) -> tuple[int, bool, int]:
     return -f[0], f[1] is None, f[1] or 0
 
 
-def _shares(rows: DataFrame, most: int, name: str) -> DataFrame:
-    """leaf, and how many parts of at most about ``most`` rows it is cut into: one row per leaf of the tree."""
-    return F.broadcast(rows.groupBy("leaf").agg(F.ceil(F.count("*") / most).cast("long").alias(name)))
+def _shelves(sizes: list[int], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each leaf's first shelf, and how many it is dealt over: neighbours share
+    one of at most ``most`` rows, a leaf of more has shelves of its own."""
+    first, count = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
+    shelf = held = 0
+    for leaf, n in enumerate(sizes):
+        if held and held + n > most:
+            shelf, held = shelf + 1, 0
+        first[leaf], count[leaf] = shelf, -(-n // most)
+        held += n
+        if n > most:
+            shelf, held = shelf + int(count[leaf]), 0
+    return first, count
+
+
+def _visited(of: np.ndarray, leaf: np.ndarray, shelves: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, leaf, shelf) for every shelf of the leaves, by query and shelf."""
+    first, count = (x[leaf] for x in shelves)
+    of, leaf = np.repeat(of, count), np.repeat(leaf, count)
+    shelf = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(len(of))
+    order = np.lexsort((leaf, shelf, of))
+    return of[order], leaf[order], shelf[order]
 
 
 # ---- mining --------------------------------------------------------------

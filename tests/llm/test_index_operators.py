@@ -261,3 +261,38 @@ def test_ranges_eliminate_leaves():
 def test_large_components_stay_exact():
     q = np.array([[1 << 27, 3]]), np.array([[(1 << 27) - 1, 5], [2, 1]])
     assert negatives.scores(*q).tolist() == [[(1 << 27) * ((1 << 27) - 1) + 15, (1 << 28) + 3]]
+
+
+def test_a_query_visits_a_shelf_of_leaves_once(spark):
+    """Near-random vectors, whose ranges eliminate hardly a leaf: no copy of a query for each leaf."""
+    rng = np.random.default_rng(6)
+    rows = [(i, [round(float(x), 3) for x in v], i % 3) for i, v in enumerate(rng.normal(size=(900, 16)))]
+    rules = negatives.MiningRules(sample=300, fanout=4, leaf_rows=10, block_rows=50, block_queries=8)
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+    classes = negatives.classes_of(negatives.quantised(frame, rules, "vec_id", "embedding", "label"), 6).cache()
+    index = negatives.Index(classes, 16, rules)
+    lows, highs = F.array(F.lit(-(1 << 62))).alias("lows"), F.array(F.lit(1 << 62)).alias("highs")
+    asked = classes.filter(F.col("ids")[0] % 9 == 0).select("key", "label", "q", lows, highs)
+    visits = index.routed(asked, False).select("key", "shelf", "leaves").toPandas()
+    # every class stands on one shelf, and a shelf holds no more than a task may
+    sizes = {}
+    for r in index.packed.selectExpr("shelf", "leaf", "size(labels) AS n").collect():
+        sizes[r.shelf] = sizes.get(r.shelf, 0) + r.n
+    assert sum(sizes.values()) == 900 and max(sizes.values()) <= 200 and index.tree.value.leaves > 4 * len(sizes)
+    # all windows are open, so each query meets every leaf: by one visit per shelf
+    assert len(visits) == 100 * len(sizes) and not visits.duplicated(["key", "shelf"]).any()
+    assert visits.groupby("key")["leaves"].apply(lambda v: sorted(x for leaves in v for x in leaves)).map(len).eq(index.packed.select("leaf").distinct().count()).all()
+
+
+def test_leaves_share_shelves_or_have_several():
+    first, count = negatives._shelves([3, 0, 4, 5, 25, 2, 9], 10)
+    assert first.tolist() == [0, 0, 0, 1, 2, 5, 6] and count.tolist() == [1, 0, 1, 1, 3, 1, 1]
+    of, leaf, shelf = negatives._visited(np.array([1, 0, 1, 0]), np.array([4, 2, 0, 1]), (first, count))
+    assert list(zip(of.tolist(), leaf.tolist(), shelf.tolist(), strict=True)) == [(0, 2, 0), (1, 0, 0), (1, 4, 2), (1, 4, 3), (1, 4, 4)]
+
+
+def test_negatives_in_small_portions(spark, monkeypatch):
+    for name, value in (("_ROUTED", 40), ("_HANDED", 3), ("_SCORED", 2)):
+        monkeypatch.setattr(negatives, name, value)
+    rows = vectors_fixture(500)
+    assert mined(spark, rows, negatives.MiningRules(sample=100, fanout=4, leaf_rows=20, block_rows=9, block_queries=2)) == brute_negatives(rows)
